@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules
+from . import chat_format, mixing, packing, quality_rules
 from .common import table
 
 
@@ -14,6 +14,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_ok")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return drawn.select("doc_id", "size", "source_size", "target", mixing.taken(drawn).alias("taken"))
+
+
 #: A conversation whose texts hold every control string and the quote character.
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -28,6 +43,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_bestfit_packing": op5_bestfit_packing,
+    "op7_source_mixing": op7_source_mixing,
     "op9_chat_format": op9_chat_format,
 }
 
