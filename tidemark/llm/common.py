@@ -73,3 +73,23 @@ def words_col(text):
 def count_words(text):
     """The number of words of a text column (null: 0), with JVM functions only."""
     return F.size(words_col(text)).cast("long")
+
+
+class Recent(dict):
+    """A memory of compute(key) in two generations of at most `size` keys each; keys in use stay
+    when the older generation goes. Longer keys are computed each time."""
+
+    def __init__(self, compute, size: int = 800_000, longest: int = 48):
+        super().__init__()
+        self.compute, self.size, self.longest, self.older = compute, size, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
