@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_rules, secret_scan, token_counts, toxicity
+from . import chat_format, mixing, packing, quality_rules, secret_scan, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", mixing.taken(drawn).alias("taken"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bestfit_packing": op5_bestfit_packing,
     "op7_source_mixing": op7_source_mixing,
+    "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -135,7 +141,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM q GROUP BY conv_id
 """
 
+_OP8 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.uid AS q_uid, q.vec_id AS query_id, c.uid AS c_uid, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.uid <> c.uid WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q_uid ORDER BY score DESC, vec_id, c_uid) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
+    "op8_topk_search": _OP8,
     "op9_chat_format": _OP9,
 }
