@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_rules, secret_scan, token_counts, topk_search, toxicity
+from . import chat_format, jaccard_join, mixing, packing, quality_rules, secret_scan, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return drawn.select("doc_id", "size", "source_size", "target", mixing.taken(drawn).alias("taken"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_bestfit_packing": op5_bestfit_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
     "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
