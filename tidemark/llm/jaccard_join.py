@@ -379,3 +379,19 @@ def join(docs: DataFrame, p: Links = Links()) -> DataFrame:
     joined = found.join(named, (F.col("a") == F.col("c_a")) & (F.col("b") == F.col("c_b")) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return joined.select("uid", "doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def keep_one(docs: DataFrame, p: Links = Links()) -> DataFrame:
+    """One document of each component (the least doc_id), and all that take no part, with their columns."""
+    joined = cut(join(docs.select("doc_id", "text"), p))
+    has_root = F.col("root").isNotNull() & F.col("doc_id").isNotNull()
+    best = joined.filter(has_root).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.*")
+    keys = best.union(joined.filter(~has_root).select("doc_id", "h")).distinct().select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"))
+    row_hash = F.xxhash64("text")
+    kept = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (row_hash == F.col("k_h")), "left_semi")
+    repeated = joined.filter(has_root).groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"))
+    if repeated.isEmpty():
+        return kept
+    # rows alike in doc_id and text: one of them stays
+    twice = kept.join(repeated, (F.col("doc_id") == F.col("k_doc")) & (row_hash == F.col("k_h")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, (F.col("doc_id") == F.col("k_doc")) & (row_hash == F.col("k_h")), "left_anti").unionByName(twice)

@@ -14,7 +14,7 @@ grouped by (source, block).
 
 Defined results: a null text has size 0; sources with null names are one source, last in
 order; an all-empty corpus takes nothing; a document of size 0 takes nothing; repeated
-rows are separate documents; other columns are kept as they are.
+rows are separate documents; other columns are kept, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def draw(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """The documents with size, source_size, target, and draws: array of (copy, words, shard, key),
     one for each time the mix takes the document; words under size is a cut copy."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
-    sized = docs.select(*own, count_words(F.col("text")).alias("size"))
+    # the row travels whole, so that none of its columns meets one of ours
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size"))
     sized = sized.withColumn("_block", F.pmod(F.xxhash64(F.lit(mixture.seed), F.col("doc_id")), F.lit(BLOCKS)))
     blocks = cut(sized.groupBy("source", "_block").agg(F.sum("size").alias("words")))
     rows = blocks.groupBy("source").agg(F.sum("words").alias("size"), F.count("*").alias("n_blocks")).collect()  # a row per source
@@ -139,6 +139,7 @@ def draw(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
         ),
         lambda d: d["words"] > 0,
     )
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
     return with_last.select(*own, "size", "source_size", "target", draws.alias("draws"))
 
 
@@ -148,8 +149,12 @@ def taken(drawn: DataFrame):
 
 
 def mixed_documents(drawn: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each draw, its text cut after the words taken, with shard and key."""
-    rows = drawn.select(*columns, "size", F.explode("draws").alias("d"))
+    """A row for each draw, its text cut after the words taken (and n_chars counted anew where it
+    was cut), with shard and key."""
+    rows = drawn.select(*columns, F.col("size").alias("whole"), F.explode("draws").alias("d"))
     first = F.array_join(F.slice(F.filter(F.split("text", GAP), lambda w: w != ""), F.lit(1), F.col("d.words").cast("int")), " ")
-    text = F.when(F.col("d.words") < F.col("size"), first).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*columns, F.col("d.shard").alias("shard"), F.col("d.key").alias("key"))
+    is_cut = F.col("d.words") < F.col("whole")
+    rows = rows.withColumn("text", F.when(is_cut, first).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.when(is_cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*columns, F.col("d.shard").alias("shard"), F.col("d.key").alias("key"))

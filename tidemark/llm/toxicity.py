@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Signs to the letters that they stand for or look like.
 _FOLDS = {
@@ -204,8 +205,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) ->
     return learn([r["text"] for r in found if r["toxic"] == 1], [r["text"] for r in found if r["toxic"] == 0], p)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, p: Learning = Learning()) -> DataFrame:
-    """All columns of docs with score and predicted."""
+def score(docs: DataFrame, lexicon: Lexicon, p: Learning = Learning(), score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """All columns of docs with the score and the prediction; columns of these names are replaced."""
+    docs = docs.drop(score_name, predicted_name)
     columns = docs.columns
     at = columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # max_entries entries at most
@@ -214,7 +216,13 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Learning = Learning()) -> DataFr
         matcher = Matcher(sent.value)
         for batch in batches:
             scores = [matcher.score(t.as_py() or "") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, score_name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double").withColumn("predicted", F.when(F.col("score") >= p.cut, 1).otherwise(0))
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType())])
+    return docs.mapInArrow(run, schema).withColumn(predicted_name, F.when(F.col(score_name) >= p.cut, 1).otherwise(0))
+
+
+def reject(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) -> DataFrame:
+    """The documents that aren't predicted toxic, with their own columns."""
+    scored = score(docs, learn_from(docs, labels, p), p, "__score", "__toxic")
+    return scored.filter("__toxic = 0").drop("__score", "__toxic")
