@@ -17,6 +17,7 @@ documents; an empty table packs into nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,50 +28,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .fingerprints import hash_words, sub_batches
 
 CAPACITY = 4096
 END = 1
 _RANKS = 1 << 44  # pieces of one length at most
+#: Bytes of text whose words are held at a time.
+BATCH = 4 << 20
 
 
 class WordTokens:
     """Token ids of texts under a tokenizer that drops white space between words, so that every
-    run of other characters is encoded on its own. Short words are remembered."""
+    run of other characters is encoded on its own. Words are known by their 64-bit hashes, in
+    arrays; the new words of a batch are encoded together, with a special token between them.
+    Beyond SIZE words, only those of the batch at hand stay known."""
 
-    LIMIT, LONGEST = 300_000, 48
+    SIZE = 1_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode
-        limit, longest = self.LIMIT, self.LONGEST
-
-        class Memo(dict):
-            def __missing__(self, word):
-                ids = np.asarray(encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                if len(word) <= longest:
-                    if len(self) >= limit:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self._get = Memo().__getitem__
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._get, _split(text)))
-
-
-_ODD = "\x1c\x1d\x1e\x1f"
-
-
-def _split(text: str) -> list[str]:
-    if any(c in text for c in _ODD):  # white space for str.split, not for the tokenizer
-        for c in "\t\n\x0b\x0c\r":
-            text = text.replace(c, " ")
-        return [w for w in text.split(" ") if w]
-    return text.split()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between_id = self.tokenizer.token_to_id(self.special[0])
+        self._know(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4"))
+
+    def _know(self, words: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        """words, ascending; the ids of each are pool[at : at + size]."""
+        self.words, self.at, self.size, self.pool = words, at, size, pool
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and their number by word."""
+        plain = [k for k, w in enumerate(words) if "<" not in w]  # others may hold a special token
+        encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        joined = encode(self.special[0].join([words[k] for k in plain])) if plain else np.zeros(0, dtype="<u4")
+        ends = np.append(np.flatnonzero(joined == self.between_id), len(joined)) if plain else np.zeros(0, dtype=np.int64)
+        each = dict(zip(plain, np.split(joined, ends[:-1]), strict=True)) if len(plain) < len(words) else None
+        if each is None:
+            return joined[joined != self.between_id], np.diff(ends, prepend=-1) - 1
+        ids = [each[k][each[k] != self.between_id] if k in each else encode(w) for k, w in enumerate(words)]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text ends."""
+        w = hash_words(texts)
+        distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.words, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = slot < len(self.words)
+        known[inside] = self.words[slot[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = memoryview(w.data)
+            words = [str(raw[a:b], "utf-8") for a, b in zip(w.starts[first[new]].tolist(), w.stops[first[new]].tolist(), strict=True)]
+            ids, sizes = self._encode(words)
+            at = len(self.pool) + np.cumsum(sizes) - sizes
+            put = slot[new]
+            self._know(np.insert(self.words, put, distinct[new]), np.insert(self.at, put, at), np.insert(self.size, put, sizes), np.concatenate([self.pool, ids]))
+            slot = np.searchsorted(self.words, distinct)
+        size, at = self.size[slot], self.at[slot]
+        each = size[which]
+        total = np.cumsum(each)
+        flat = self.pool[np.repeat(at[which] - (total - each), each) + np.arange(int(total[-1]) if len(total) else 0)]
+        if len(self.words) > self.SIZE:
+            kept = np.cumsum(size)
+            pool = self.pool[np.repeat(at - (kept - size), size) + np.arange(int(kept[-1]))]
+            self._know(distinct, kept - size, size, pool)
+        return flat, np.concatenate([[0], total])[w.ends]
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, which outlives its tasks."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -80,13 +111,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part = WordTokens(tokenizer_path), TaskContext.get().partitionId()
+        words, part = word_tokens(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         tail = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sub_batches(batches, "text", BATCH):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + tail
+            flat, ends = words.ids(batch.column(1))
+            begin = 0
+            for doc, stop in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids, begin = flat[begin:stop].tobytes() + tail, stop
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut_ids = ids[at : at + 4 * capacity]
                     n = len(cut_ids) // 4
