@@ -22,7 +22,7 @@ _BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 #: Bytes hashed at a time; a longer text is hashed whole.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class _Powers:
@@ -178,7 +178,7 @@ def signatures(hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np
     return a, b
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of some batches in batches of about `size` bytes of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -34,7 +34,7 @@ CAPACITY = 4096
 END = 1
 _RANKS = 1 << 44  # pieces of one length at most
 #: Bytes of text whose words are held at a time.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 class WordTokens:
@@ -43,7 +43,7 @@ class WordTokens:
     arrays; the new words of a batch are encoded together, with a special token between them.
     Beyond SIZE words, only those of the batch at hand stay known."""
 
-    SIZE = 1_500_000
+    SIZE, BLOCK = 1_000_000, 8192
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,14 +52,18 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between_id = self.tokenizer.token_to_id(self.special[0])
-        self._know(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4"))
+        self._know(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4"))
 
     def _know(self, words: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
         """words, ascending; the ids of each are pool[at : at + size]."""
         self.words, self.at, self.size, self.pool = words, at, size, pool
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and their number by word."""
+        """The ids of all words, one after the other, and their number by word; a block of words at a time."""
+        blocks = [self._encode_block(words[i : i + self.BLOCK]) for i in range(0, len(words), self.BLOCK)]
+        return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+
+    def _encode_block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [k for k, w in enumerate(words) if "<" not in w]  # others may hold a special token
         encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         joined = encode(self.special[0].join([words[k] for k in plain])) if plain else np.zeros(0, dtype="<u4")
@@ -85,16 +89,16 @@ class WordTokens:
             ids, sizes = self._encode(words)
             at = len(self.pool) + np.cumsum(sizes) - sizes
             put = slot[new]
-            self._know(np.insert(self.words, put, distinct[new]), np.insert(self.at, put, at), np.insert(self.size, put, sizes), np.concatenate([self.pool, ids]))
+            self._know(np.insert(self.words, put, distinct[new]), np.insert(self.at, put, at.astype(np.int32)), np.insert(self.size, put, sizes.astype(np.int32)), np.concatenate([self.pool, ids]))
             slot = np.searchsorted(self.words, distinct)
-        size, at = self.size[slot], self.at[slot]
+        size, at = self.size[slot].astype(np.int64), self.at[slot].astype(np.int64)
         each = size[which]
         total = np.cumsum(each)
         flat = self.pool[np.repeat(at[which] - (total - each), each) + np.arange(int(total[-1]) if len(total) else 0)]
         if len(self.words) > self.SIZE:
             kept = np.cumsum(size)
             pool = self.pool[np.repeat(at - (kept - size), size) + np.arange(int(kept[-1]))]
-            self._know(distinct, kept - size, size, pool)
+            self._know(distinct, (kept - size).astype(np.int32), size.astype(np.int32), pool)
         return flat, np.concatenate([[0], total])[w.ends]
 
 
