@@ -11,9 +11,14 @@ from ..config import KeywordConfig
 from ..functions import text as X
 
 
+#: A vocabulary up to this size is sent to all executors.
+SMALL_VOCABULARY = 200_000
+
+
 def term_counts(docs: DataFrame, ngrams: Sequence[int] = (1,), stop: Sequence[str] | None = None) -> DataFrame:
-    """row_id, term, tf from doc_text; the sizes of n-grams are the range from the least to the greatest."""
-    words = docs.select("row_id", X.tokens(F.col("doc_text"), stop).alias("words"))
+    """row_id, term, tf from doc_text; the sizes of n-grams are the range from the least to the greatest. Texts
+    are dealt by row_id once; terms are counted, weighed and ranked where they fall."""
+    words = docs.select("row_id", "doc_text").repartition("row_id").select("row_id", X.tokens(F.col("doc_text"), stop).alias("words"))
     terms = words.select("row_id", F.explode(X.ngrams(F.col("words"), min(ngrams), max(ngrams))).alias("term"))
     return terms.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
@@ -25,24 +30,24 @@ def vocabulary(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 20_000, ngrams: Sequence[int] = (1,), stop: Sequence[str] | None = None) -> DataFrame:
-    """row_id, term, tf, weight: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1) over its Euclidean norm in the document."""
+    """row_id, term, tf, weight: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1) over its Euclidean norm in the document;
+    and of each term, found once in the vocabulary: valid, and keyword (its normal form)."""
     counts = term_counts(docs, ngrams, stop)
     n = docs.agg(F.count("*").cast("double").alias("n")).scalar()
+    known = vocabulary(counts, min_df, max_features).select("term", "df", X.valid_phrase(F.col("term"), stop).alias("valid"), X.normalize_keyword(F.col("term"), stop).alias("keyword"))
+    known = F.broadcast(known) if max_features <= SMALL_VOCABULARY else known  # max_features rows at most
     raw = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + n) / (1 + F.col("df").cast("double"))) + 1)
-    weighed = counts.join(vocabulary(counts, min_df, max_features), "term").select("row_id", "term", "tf", raw.alias("raw"))
+    weighed = counts.join(known, "term").select("row_id", "term", "tf", "valid", "keyword", raw.alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
-    return weighed.select("row_id", "term", "tf", (F.col("raw") / norm).alias("weight"))
+    return weighed.select("row_id", "term", "tf", (F.col("raw") / norm).alias("weight"), "valid", "keyword")
 
 
-def top_keywords(weights: DataFrame, top_k: int, stop: Sequence[str] | None = None, normalize: bool = True, drop_empty: bool = False) -> DataFrame:
-    """row_id, rank, term, keyword, score: the top_k valid terms of each document. Validity and the normal form are
-    found once for each distinct term; both come after the weights, which stay as they are."""
-    terms = weights.select("term").distinct()
-    keyword = X.normalize_keyword(F.col("term"), stop) if normalize else F.col("term")
-    known = terms.filter(X.valid_phrase(F.col("term"), stop)).select("term", keyword.alias("keyword"))
+def top_keywords(weights: DataFrame, top_k: int, normalize: bool = True, drop_empty: bool = False) -> DataFrame:
+    """row_id, rank, term, keyword, score: the top_k valid terms of each document. Validity and the normal form come
+    after the weights, which stay as they are."""
     order = Window.partitionBy("row_id").orderBy(F.desc(F.round("weight", 9)), "term")
-    ranked = weights.join(known, "term").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    out = ranked.select("row_id", "rank", "term", "keyword", F.col("weight").alias("score"))
+    ranked = weights.filter("valid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    out = ranked.select("row_id", "rank", "term", F.col("keyword" if normalize else "term").alias("keyword"), F.col("weight").alias("score"))
     return out.filter("keyword <> ''") if drop_empty else out
 
 

@@ -19,6 +19,7 @@ from ..operators import forecast, hypergraph, itemsets, keywords, metrics, repor
 from ..schema import PAPERS_CSV, PAPERS_WITH_KEYWORDS_CSV, PAPERS_WITH_TOPICS_CSV
 from ..sinks import writers
 from ..sources import papers as sources
+from ..storage import cut
 
 
 def tag(papers: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
@@ -42,9 +43,9 @@ def extract_keywords(papers: DataFrame, p: KeywordConfig) -> dict[str, DataFrame
         warnings.warn("target_year is not the year after the window", stacklevel=2)
     loaded = sources.load_for_keywords(papers)
     weights = keywords.tfidf(loaded, p.min_df, p.max_features, p.ngrams)
-    words = keywords.top_keywords(weights, p.top_keywords_per_paper, drop_empty=p.drop_empty_keywords)
+    words = cut(keywords.top_keywords(weights, p.top_keywords_per_paper, drop_empty=p.drop_empty_keywords))  # read by each result
     scores = keywords.influence(loaded, words, p)
-    with_words = loaded.join(keywords.keyword_columns(words), "row_id", "left").withColumn("extracted_keywords", F.coalesce("extracted_keywords", F.array().cast("array<string>")))
+    with_words = loaded.drop("extracted_keywords", "extracted_keyword_scores").join(keywords.keyword_columns(words), "row_id", "left").withColumn("extracted_keywords", F.coalesce("extracted_keywords", F.array().cast("array<string>")))
     return {
         "papers_with_keywords": with_words,
         "keyword_topic_scores": scores.orderBy("topic", F.desc("influence_score"), "keyword"),
@@ -56,8 +57,8 @@ def extract_keywords(papers: DataFrame, p: KeywordConfig) -> dict[str, DataFrame
 def mine_itemsets(papers: DataFrame, p: ItemsetConfig) -> dict[str, typing.Any]:
     """metrics, series, residuals, ranking, and the method that ranked."""
     loaded = sources.load_for_itemsets(papers, p.min_year, p.max_year)
-    tx = itemsets.transactions(loaded, itemsets.df_band(loaded, p.df_min_count, p.df_max_frac))
-    found = itemsets.yearly_metrics(tx, p)
+    tx = cut(itemsets.transactions(loaded, itemsets.df_band(loaded, p.df_min_count, p.df_max_frac)))  # read by each count
+    found = cut(itemsets.yearly_metrics(tx, p))
     z = trends.series(found, tx)
     residual = trends.residuals(z, p.baseline, p.window)
     method, ranking = trends.rank_itemsets(z, residual, p)

@@ -12,6 +12,7 @@ from .functions import rules
 from .functions import text as X
 from .operators import forecast, hypergraph, itemsets, keywords, metrics, reports, snapshots, tagging, trends
 from .sources import papers as S
+from .storage import cut
 from .streaming import counts as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +61,7 @@ TEST_PARENTS = {"German Function Words": ["Germanic"], "English Function Words":
 
 def _tx(spark: SparkSession, sf_dir: str, p: ItemsetConfig, item: str) -> DataFrame:
     papers = S.basket_papers(spark, sf_dir, item)
-    return itemsets.transactions(papers, itemsets.df_band(papers, p.df_min_count, p.df_max_frac))
+    return cut(itemsets.transactions(papers, itemsets.df_band(papers, p.df_min_count, p.df_max_frac)))
 
 
 def _tx_sql(p: ItemsetConfig, item: str) -> str:
@@ -151,7 +152,7 @@ def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _series(spark: SparkSession, sf_dir: str, p: ItemsetConfig, item: str, triples: bool) -> DataFrame:
     tx = _tx(spark, sf_dir, p, item)
     if triples:
-        found = itemsets.yearly_metrics(tx, p)
+        found = cut(itemsets.yearly_metrics(tx, p))
     else:
         found = itemsets.frequent_pairs(tx, p).select("year", F.array("a", "b").alias("items"), F.lit(2).alias("size"), "supp")
     return trends.series(found, tx)
@@ -460,7 +461,7 @@ sc AS (SELECT *, 0.4 * z_strength + 0.3 * z_spec + 0.2 * z_cont + 0.1 * z_trend
 
 def _doc_keywords(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     papers = S.document_papers(spark, sf_dir)
-    return papers, keywords.top_keywords(keywords.tfidf(papers), SCORES.top_keywords_per_paper)
+    return papers, cut(keywords.top_keywords(keywords.tfidf(papers), SCORES.top_keywords_per_paper))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
