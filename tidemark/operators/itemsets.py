@@ -56,7 +56,8 @@ def frequent_pairs(tx: DataFrame, p: ItemsetConfig) -> DataFrame:
     """year, a, b, count, supp, lift of the pairs with enough support and lift in their year."""
     sizes = year_sizes(tx)
     singles = tx.select("year", F.explode("items").alias("item")).groupBy("year", "item").agg(F.count("*").alias("c"))
-    counted = _short(tx, p.max_items).select("year", F.explode(pairs_of(F.col("items"))).alias("p")).groupBy("year", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
+    # explode_outer: explode would have the planner test the size of the array first, and so make all pairs twice
+    counted = _short(tx, p.max_items).select("year", F.explode_outer(pairs_of(F.col("items"))).alias("p")).filter("p IS NOT NULL").groupBy("year", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
     enough = counted.join(F.broadcast(sizes), "year").filter(F.col("count") >= least_count(F.col("n"), p))  # a row for each year
     a, b = (singles.select("year", F.col("item").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab")
     share = lambda c: F.col(c).cast("double") / F.col("n")
@@ -66,7 +67,7 @@ def frequent_pairs(tx: DataFrame, p: ItemsetConfig) -> DataFrame:
 
 def frequent_triples(tx: DataFrame, strong: DataFrame, p: ItemsetConfig) -> DataFrame:
     """year, a, b, c, count, supp, lift_min of the triples whose three pairs are strong in the year."""
-    edges = _short(tx, p.max_items).select("row_id", "year", F.explode(pairs_of(F.col("items"))).alias("p")).select("row_id", "year", "p.*")
+    edges = _short(tx, p.max_items).select("row_id", "year", F.explode_outer(pairs_of(F.col("items"))).alias("p")).filter("p IS NOT NULL").select("row_id", "year", "p.*")
     edges = edges.join(strong.select("year", "a", "b", "lift"), ["year", "a", "b"])
     # the strong pairs of a row, and the triangles among them
     held = edges.groupBy("row_id", "year").agg(F.sort_array(F.collect_list(F.struct("a", "b", "lift"))).alias("e")).filter(F.size("e") >= 3)
@@ -83,7 +84,7 @@ def frequent_triples(tx: DataFrame, strong: DataFrame, p: ItemsetConfig) -> Data
             )
         ),
     )
-    counted = found.select("year", F.explode("t").alias("t")).groupBy("year", F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.c").alias("c")).agg(F.count("*").alias("count"))
+    counted = found.select("year", F.explode_outer("t").alias("t")).filter("t IS NOT NULL").groupBy("year", F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.c").alias("c")).agg(F.count("*").alias("count"))
     enough = counted.join(F.broadcast(year_sizes(tx)), "year").filter(F.col("count") >= least_count(F.col("n"), p))
     lift = lambda x, y, name: strong.select("year", F.col("a").alias(x), F.col("b").alias(y), F.col("lift").alias(name))
     with_lift = enough.join(lift("a", "b", "l1"), ["year", "a", "b"]).join(lift("a", "c", "l2"), ["year", "a", "c"]).join(lift("b", "c", "l3"), ["year", "b", "c"])

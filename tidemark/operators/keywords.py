@@ -19,7 +19,8 @@ def term_counts(docs: DataFrame, ngrams: Sequence[int] = (1,), stop: Sequence[st
     """row_id, term, tf from doc_text; the sizes of n-grams are the range from the least to the greatest. Texts
     are dealt by row_id once; terms are counted, weighed and ranked where they fall."""
     words = docs.select("row_id", "doc_text").repartition("row_id").select("row_id", X.tokens(F.col("doc_text"), stop).alias("words"))
-    terms = words.select("row_id", F.explode(X.ngrams(F.col("words"), min(ngrams), max(ngrams))).alias("term"))
+    # explode_outer: explode would have the planner test the size of the array first, and so make all n-grams twice
+    terms = words.select("row_id", F.explode_outer(X.ngrams(F.col("words"), min(ngrams), max(ngrams))).alias("term")).filter("term IS NOT NULL")
     return terms.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -69,7 +69,8 @@ def tag_papers(papers: DataFrame, taxonomy: Taxonomy | None = None, parents: dic
 def incidence(tagged: DataFrame) -> DataFrame:
     """paper_id, topic_id, topic_name, title, year: a row for each paper and topic; the year as text."""
     title, year = (X.safe_text(F.col(c)) if c in tagged.columns else F.lit("") for c in ("title", "year"))
-    rows = tagged.select("paper_id", title.alias("title"), year.alias("year"), F.explode("assigned_topics").alias("topic_name"))
+    # explode_outer: explode would have the planner test the size of the array first, and so match all rules twice
+    rows = tagged.select("paper_id", title.alias("title"), year.alias("year"), F.explode_outer("assigned_topics").alias("topic_name")).filter("topic_name IS NOT NULL")
     return rows.select("paper_id", X.slugify(F.col("topic_name")).alias("topic_id"), "topic_name", "title", "year")
 
 

@@ -289,7 +289,7 @@ assigned AS (SELECT doc_id, list(topic ORDER BY hits DESC, topic) AS topics FROM
 @query(f"WITH {_tag_sql()} SELECT doc_id, topic, hits FROM direct")
 def topic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", X.normalize_for_tagging(F.coalesce("text", F.lit(""))).alias("t"))
-    return docs.select("doc_id", F.explode(tagging.topic_hits(F.col("t"), TEST_TAXONOMY)).alias("h")).select("doc_id", "h.topic", "h.hits")
+    return docs.select("doc_id", F.explode_outer(tagging.topic_hits(F.col("t"), TEST_TAXONOMY)).alias("h")).filter("h IS NOT NULL").select("doc_id", "h.topic", "h.hits")
 
 
 @query(f"WITH {_tag_sql()} SELECT CAST(doc_id AS VARCHAR) AS paper_id, array_to_string(topics, '~') AS topics, topics[1] AS primary_topic, CAST(len(topics) AS INTEGER) AS num_topics FROM assigned")
