@@ -104,11 +104,11 @@ def host_verdicts(features: DataFrame, rules: HostRules = HostRules()) -> DataFr
     tests = failures(rules)
     hosts = features.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.sum(c.cast("long")).alias(f"f_{k}") for k, c in tests.items()])
     rate = lambda k: F.col(f"f_{k}") / F.col("host_docs")
-    prior = hosts.agg(*[x for k in tests for x in (F.avg(rate(k)).alias(f"m_{k}"), F.var_pop(rate(k)).alias(f"v_{k}"))])
-    both = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
+    prior = hosts.agg(F.struct(*[x for k in tests for x in (F.avg(rate(k)).alias(f"m_{k}"), F.var_pop(rate(k)).alias(f"v_{k}"))]).alias("prior"))
+    both = hosts.withColumn("prior", prior.scalar())
     shrunk = {}
     for k in tests:
-        m, v = F.col(f"m_{k}"), F.col(f"v_{k}")
+        m, v = F.col("prior")[f"m_{k}"], F.col("prior")[f"v_{k}"]
         strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(rules.min_strength)), F.lit(rules.max_strength))).otherwise(rules.max_strength)
         shrunk[k] = (F.col(f"f_{k}") + strength * m) / (F.col("host_docs") + strength)
     rated = both.select("host", "host_docs", *[c.alias(f"rate_{k}") for k, c in shrunk.items()])
