@@ -241,3 +241,26 @@ def test_text_column_choice(spark):
     assert S.choose_text_columns(df) == ["title", "venue"]
     with pytest.raises(ValueError):
         S.choose_topic_column(df)
+
+
+def test_itemset_plan_backtest_and_combination(spark):
+    random.seed(11)
+    rows = []
+    for year in range(2015, 2024):
+        for k in range(40):
+            base = ["graph", "cut"] if k < 4 + 2 * (year - 2015) else ["flow", "plan"] if k % 3 else ["sort"]
+            rows.append((str(len(rows)), year, float(k), ["T", "U"] if k % 2 else ["T"], base + random.sample(["a1", "b1", "c1"], 1)))
+    papers = spark.createDataFrame(rows, "paper_id string, year int, citation_count double, topics array<string>, extracted_keywords array<string>")
+    p = ItemsetConfig(min_year=2015, max_year=2023, forecast_year=2024, df_max_frac=0.9, min_lift=1.0)
+    found = run.mine_itemsets(papers, p)
+    assert found["method"] == "trend" and found["ranking"].first()["items"] == ["cut", "graph"]
+    assert {r["k"] for r in run.backtest_itemsets(papers, p).collect()} == {5, 50}
+    loaded = S.with_row_id(papers)
+    words = loaded.select("row_id", F.posexplode("extracted_keywords").alias("rank", "keyword")).withColumn("score", F.lit(0.5))
+    scores = keywords.influence(loaded, words, KeywordConfig(2015, 2022, 2023))
+    predictions = spark.createDataFrame([("T", 40.0, 40.0), ("U", 20.0, 21.0)], "topic string, prediction double, ground_truth double")
+    both = run.combined(predictions, scores, found["ranking"])
+    told = both["interpretation"].collect()
+    assert {r["topic"] for r in told} == {"T", "U"} and {r["prediction_error"] for r in told} == {0.0, -1.0}
+    assert both["overlap"].first()["total_unique_keywords"] == both["keyword_sets"].count() and both["comparison"].count() == 5
+    assert reports.nested_interpretation(both["interpretation"]).count() == 2

@@ -11,6 +11,7 @@ from .config import ForecastConfig, ItemsetConfig, KeywordConfig
 from .functions import rules
 from .functions import text as X
 from .operators import forecast, hypergraph, itemsets, keywords, metrics, reports, snapshots, tagging, trends
+from .plans import run
 from .sources import papers as S
 from .storage import cut
 from .streaming import counts as streaming
@@ -227,6 +228,12 @@ def curve_fit_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(itemsets.label(F.col("items")).alias("itemset"), "size", "linear_slope", "exp_k", "logistic_k", "model_fit", "trend_score")
 
 
+@query()
+def backtest_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = S.basket_papers(spark, sf_dir, "p_type").withColumnRenamed("items", "extracted_keywords")
+    return run.backtest_itemsets(papers, ItemsetConfig(**(vars(TYPES) | {"min_year": 1995, "max_year": 2000, "eval_k": 10, "top_m": 5})))
+
+
 # ---- text and tagging
 
 
