@@ -85,6 +85,8 @@ def tokens(text: Column, stop: Sequence[str] | None = None) -> Column:
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of a range of sizes, joined by blanks; they bridge removed words."""
     def of_size(n: int) -> Column:
+        if n == 1:
+            return words
         count = F.size(words) - n + 1
         none = F.array().cast("array<string>")
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
