@@ -314,7 +314,7 @@ def residual(rooted: DataFrame, ordered: DataFrame, p: Links) -> DataFrame:
         .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "n", "pos", "before", "root", "lone", "bits")
     )
     keys = ["token", "x", "y"]
-    tasks = dealt.repartition(4 * shuffle_partitions(rooted.sparkSession), *keys).sortWithinPartitions(*keys)
+    tasks = dealt.repartition(shuffle_partitions(rooted.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -352,20 +352,26 @@ def residual(rooted: DataFrame, ordered: DataFrame, p: Links) -> DataFrame:
     return tasks.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, p: Links = Links()) -> DataFrame | None:
+def linked_classes(docs: DataFrame, classes: DataFrame, p: Links = Links()) -> DataFrame:
     """node, root of the classes that have links."""
     ordered = ordered_classes(docs, classes, p)
     parts = segments(ordered, p)
     posts = cut(postings(ordered, p))
-    links, roots = None, None
+    roots = None
     for seed in range(p.star_rounds):
         mixed = _with_roots(posts, roots)
-        new = verified(stars(mixed.select(*posts.columns), seed, p), parts, p)
-        links = cut(new if links is None else links.union(new).distinct())
-        roots = cut(components(links))
+        roots = _tied(roots, cut(verified(stars(mixed.select(*posts.columns), seed, p), parts, p)))
     rooted = cut(_with_roots(posts, roots))
-    last = verified(residual(rooted, ordered, p), parts, p)
-    return cut(components(links.union(last)))
+    return _tied(roots, cut(verified(residual(rooted, ordered, p), parts, p)))
+
+
+def _tied(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The components after new links; those known already go in as stars, and stay if nothing is new."""
+    if roots is None:
+        return cut(components(new))
+    if new.isEmpty():
+        return roots
+    return cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new)))
 
 
 def join(docs: DataFrame, p: Links = Links()) -> DataFrame:
