@@ -1,10 +1,12 @@
 """Operator 10: secret scans by patterns and by dictionary-primed compression novelty.
 
-Three fixed patterns find the base spans. Then every other string of secret-like characters
-that stands near a sensitive word is a candidate: zstandard, primed with a dictionary of
-code and identifiers, compresses the surrounding text without and with the candidate; a
-candidate whose marginal compressed bytes per character are high is in neither, and is
-reported as a span of kind "novel".
+Three fixed patterns find the base spans. Then every other string of 12 or more secret-like
+characters that stands near a sensitive word is a candidate, and so is every one that follows
+or precedes a candidate with only a line break, blanks and quoting between them, so that a key
+of many lines is taken whole. zstandard, primed with a dictionary of code and identifiers,
+compresses the surrounding text without and with the candidate; a candidate whose marginal
+compressed bytes per character are high is in neither, and is reported as a span of kind
+"novel". That cost alone decides.
 
 Texts are scanned whole, row by row; nothing is shuffled. Positions are code points, ends
 exclusive.
@@ -33,6 +35,8 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 _KEYWORD = re.compile(r"(?ai:pass(?:word|wd)|secret|token|api_?key)")
 _SENSITIVE = re.compile(r"(?ai:passw|passphrase|secret|token|api_?key|credential|private|bearer|auth|signature|access_?key|client_?id)")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: What may stand between two lines of a block: a line break, written out or escaped, blanks and quoting.
+_BETWEEN_LINES = re.compile(r"""[\x20\t"'`,;+>#*|()/]*+[\n\r\\][\s"'`,;+>#*|()/\\]*+""")
 
 #: What code and configuration near secrets commonly say; a candidate made of these is no novelty.
 DICTIONARY = " ".join(
@@ -84,23 +88,32 @@ class Scanner:
         spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         return sorted(spans, key=_in_order)
 
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        """Strings of secret-like characters near a sensitive word, and those on lines next to a candidate."""
+        words = [m.span() for m in _SENSITIVE.finditer(text)]
+        if not words:
+            return []
+        reach, runs, w = self.novelty.reach, [m.span() for m in _CANDIDATE.finditer(text)], 0
+        near = []
+        for start, end in runs:
+            while w < len(words) and words[w][1] + reach <= start:
+                w += 1
+            near.append(w < len(words) and words[w][0] - reach < end)
+        tied = [_BETWEEN_LINES.fullmatch(text, a[1], b[0]) is not None for a, b in zip(runs, runs[1:], strict=False)]
+        for k in range(1, len(runs)):
+            near[k] = near[k] or (near[k - 1] and tied[k - 1])
+        for k in range(len(runs) - 1, 0, -1):
+            near[k - 1] = near[k - 1] or (near[k] and tied[k - 1])
+        return [run for run, is_near in zip(runs, near, strict=True) if is_near]
+
     def novel_spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        reach, spans, done = self.novelty.reach, [], -1
-        for word in _SENSITIVE.finditer(text):
-            low = max(0, word.start() - reach)
-            for m in _CANDIDATE.finditer(text, max(low, done), min(len(text), word.end() + reach)):
-                start, end = m.span()
-                while end < len(text) and _CANDIDATE.match(text[end] * 12):  # whole, where the reach cut it
-                    end += 1
-                while start > done and start > 0 and _CANDIDATE.match(text[start - 1] * 12):
-                    start -= 1
-                done = max(done, end)
-                found = text[start:end]
-                if not (re.search("[0-9]", found) and re.search("[A-Za-z]", found)) or any(s < end and start < e for s, e, _ in base):
-                    continue
-                if self.cost(text[max(0, start - reach) : start], found, text[end : end + reach]) >= self.novelty.min_bytes_per_char:
-                    spans.append((start, end, "novel"))
-        return sorted(set(spans), key=_in_order)
+        reach, spans = self.novelty.reach, []
+        for start, end in self.candidates(text):
+            if any(s < end and start < e for s, e, _ in base):
+                continue
+            if self.cost(text[max(0, start - reach) : start], text[start:end], text[end : end + reach]) >= self.novelty.min_bytes_per_char:
+                spans.append((start, end, "novel"))
+        return spans
 
 
 def _in_order(span: tuple[int, int, str]) -> tuple[int, int, int]:
