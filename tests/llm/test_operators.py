@@ -176,6 +176,17 @@ def test_word_tokens_are_the_library():
         assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tok.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
 
 
+def test_word_tokens_of_tags_only(spark):
+    path, tok = queries.tokenizer_path("word_bpe_49k.json"), library("word_bpe_49k.json")
+    w = packing.WordTokens(path)
+    w.BLOCK = 3
+    for texts in (["<p>"], ["some words here <b>"], ["<br/> <p>", "<i>"], ["<a> <td> <tr> plain"], ["<|startoftext|>"], ["a1 b2 c3 <ul> <li> <ol>"]):
+        ids, ends = w.ids(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = packing.pack_documents(documents(spark, [(1, "<p>", "a")]), path).collect()
+    assert check_packing(rows, {1: "<p>"}, tok, packing.CAPACITY) == 1
+
+
 def check_packing(rows, docs, tok, capacity):
     by, bins = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -68,7 +68,7 @@ class WordTokens:
         encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         joined = encode(self.special[0].join([words[k] for k in plain])) if plain else np.zeros(0, dtype="<u4")
         ends = np.append(np.flatnonzero(joined == self.between_id), len(joined)) if plain else np.zeros(0, dtype=np.int64)
-        each = dict(zip(plain, np.split(joined, ends[:-1]), strict=True)) if len(plain) < len(words) else None
+        each = dict(zip(plain, np.split(joined, ends[:-1]) if plain else [], strict=True)) if len(plain) < len(words) else None
         if each is None:
             return joined[joined != self.between_id], np.diff(ends, prepend=-1) - 1
         ids = [each[k][each[k] != self.between_id] if k in each else encode(w) for k, w in enumerate(words)]
