@@ -55,6 +55,29 @@ def test_curve_fits():
     assert trends.fit_curves(np.zeros(5), ("logistic",)) == (0.0, 0.0, "constant")
 
 
+def test_command_line_ranks_by_all_models(spark):
+    import numpy as np
+
+    t = np.arange(8, dtype=float)
+    grown = {"exp": 0.01 * np.exp(0.4 * t), "log": 0.04 / (1 + np.exp(-2.5 * (t - 4))), "line": 0.3 + 0.05 * t, "falls": np.array([0.5, 0.01, 0.01, 0.01, 0.01, 0.01, 0.02, 0.04])}
+    z = spark.createDataFrame([([k, "x"], 2, 2000 + i, float(v)) for k, zs in grown.items() for i, v in enumerate(zs)], "items array<string>, size int, year int, z double")
+    found = {r["items"][0]: r for r in trends.rank_by_trend(z, run.parse(["itemsets", "--input", "x"])[3]).collect()}
+    slopes = {k: np.polyfit(t, zs, 1)[0] for k, zs in grown.items()}
+    assert found["exp"]["exp_k"] == pytest.approx(0.4, abs=1e-4) and found["log"]["logistic_k"] == pytest.approx(2.5, abs=1e-4)
+    assert all(r["trend_score"] == pytest.approx(0.5 * slopes[k] + 0.25 * r["exp_k"] + 0.25 * r["logistic_k"], abs=1e-9) for k, r in found.items())
+    assert found["log"]["rank"] < found["line"]["rank"]
+    linear = {r["items"][0]: r for r in trends.rank_by_trend(z, ItemsetConfig(trend_models=("linear",))).collect()}
+    assert linear["line"]["rank"] == 1 and "falls" not in linear and linear["log"]["rank"] > linear["exp"]["rank"]
+
+
+def test_full_ranking_query(spark):
+    from tidemark import queries
+
+    rows = {r["itemset"]: r for r in queries.trend_ranking_full(spark, "/root/testdata/sf0.001").collect()}
+    fits = {r["itemset"]: r for r in queries.curve_fit_trend(spark, "/root/testdata/sf0.001").collect()}
+    assert rows and all(r["trend_score"] == pytest.approx(0.5 * fits[k]["linear_slope"] + 0.25 * fits[k]["exp_k"] + 0.25 * fits[k]["logistic_k"], rel=1e-6, abs=1e-9) for k, r in rows.items())
+
+
 def test_rank_falls_back_to_residuals(spark):
     z = series(spark, [0.5, 0.4, 0.3])
     method, ranking = trends.rank_itemsets(z, trends.residuals(z), ItemsetConfig())

@@ -41,6 +41,10 @@ class KeywordConfig:
         return self.target_year != self.window_end + 1
 
 
+#: The terms of a full trend score; the command line ranks by all of them.
+TREND_MODELS = ("linear", "exponential", "logistic")
+
+
 @dataclass(frozen=True)
 class ItemsetConfig:
     min_year: int = 2015
@@ -62,7 +66,7 @@ class ItemsetConfig:
     def __post_init__(self) -> None:
         _need(self.baseline in ("drift", "ar1", "mean"), "baseline is drift, ar1 or mean")
         _need(self.window >= 1 and self.max_year >= self.min_year, "an empty range of years")
-        _need(set(self.trend_models) <= {"linear", "exponential", "logistic"}, "unknown trend model")
+        _need(set(self.trend_models) <= set(TREND_MODELS), "unknown trend model")
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ForecastConfig, ItemsetConfig, KeywordConfig, TaggerConfig
+from ..config import TREND_MODELS, ForecastConfig, ItemsetConfig, KeywordConfig, TaggerConfig
 from ..functions import rules
 from ..operators import forecast, hypergraph, itemsets, keywords, metrics, reports, snapshots, tagging, trends
 from ..schema import PAPERS_CSV, PAPERS_WITH_KEYWORDS_CSV, PAPERS_WITH_TOPICS_CSV
@@ -131,6 +131,7 @@ def parse(argv: list[str] | None = None) -> tuple[str, str, str | None, typing.A
         p.add_argument("--input", required=True)
         p.add_argument("--taxonomy", help="JSON file of pattern lists by topic") if name == "tag" else None
         _options(p, config)
+        p.set_defaults(trend_models=TREND_MODELS) if name == "itemsets" else None
     args = vars(parser.parse_args(argv))
     plan, path, taxonomy = args.pop("plan"), args.pop("input"), args.pop("taxonomy", None)
     return plan, path, taxonomy, PLANS[plan][0](**args)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import ForecastConfig, ItemsetConfig, KeywordConfig
+from .config import TREND_MODELS, ForecastConfig, ItemsetConfig, KeywordConfig
 from .functions import rules
 from .functions import text as X
 from .operators import forecast, hypergraph, itemsets, keywords, metrics, reports, snapshots, tagging, trends
@@ -221,6 +221,14 @@ def trend_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("rank", itemsets.label(F.col("items")).alias("itemset"), "size", F.round("trend_score", 9).alias("trend_score"))
 
 
+@query()
+def trend_ranking_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all three models, as the command line ranks."""
+    p = ItemsetConfig(**(vars(TYPES) | {"trend_models": TREND_MODELS}))
+    top = trends.rank_by_trend(_series(spark, sf_dir, p, "p_type", True), p)
+    return top.select("rank", itemsets.label(F.col("items")).alias("itemset"), "size", "trend_score", "linear_slope", "exp_k", "logistic_k", "model_fit")
+
+
 @query()
 def curve_fit_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     trend = trends.linear_trend(_series(spark, sf_dir, TYPES, "p_type", True))
