@@ -1,15 +1,17 @@
 """The pipeline, stage by stage, against plain Python; and the registered queries against their SQL."""
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import check_packing, library, linked
-from tidemark.llm import queries, toxicity
+from tidemark.llm import packing, queries, toxicity
 from tidemark.llm.common import DOCUMENT_COLUMNS, cut, table
 
 DATA = "/root/testdata/sf0.001"
@@ -45,6 +47,31 @@ def test_stages(spark):
     assert check_packing is not None
 
 
+def test_packing_holds_the_mix(spark):
+    """Every piece of every mixed row, documents drawn again or in part included, in sequences that neither overlap nor leave gaps."""
+    docs = table(spark, DATA, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, DATA))
+        if name == "mixing":
+            mixed = docs.collect()
+    after, tok, want = docs.collect(), library("word_bpe_49k.json"), Counter()
+    for r in mixed:
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, packing.END], dtype="<u4")
+        want.update((r["doc_id"], k, at, len(ids[at : at + packing.CAPACITY]), zlib.crc32(ids[at : at + packing.CAPACITY].tobytes())) for k, at in enumerate(range(0, len(ids), packing.CAPACITY)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in after) == want
+    assert max(Counter(r["doc_id"] for r in mixed).values()) > 1
+    bins = defaultdict(list)
+    for r in after:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(bins) == list(range(len(bins)))
+    for held in bins.values():
+        end = 0
+        for offset, length in sorted(held):
+            assert offset == end
+            end += length
+        assert end <= packing.CAPACITY
+
+
 def test_run_is_the_stages(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
 
