@@ -128,6 +128,19 @@ def test_long_transactions_are_refused(spark):
         itemsets.frequent_pairs(df, ItemsetConfig(min_lift=0.0)).collect()
 
 
+def test_long_transactions_are_mined(spark):
+    random.seed(5)
+    data = [(i, 2000 + i % 2, sorted(random.sample([f"i{k}" for k in range(12)], n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12])]
+    tx = spark.createDataFrame(data, "row_id long, year int, items array<string>").filter(F.size("items") > 0)
+    short, wide = ItemsetConfig(min_lift=0.0, max_items=3), ItemsetConfig(min_lift=0.0)
+    pairs = itemsets.frequent_pairs(tx, short, long_rows=True)
+    assert sorted(pairs.collect()) == sorted(itemsets.frequent_pairs(tx, wide).collect())
+    assert sorted(itemsets.frequent_triples(tx, pairs, short, long_rows=True).collect()) == sorted(itemsets.frequent_triples(tx, pairs, wide).collect())
+    long = spark.createDataFrame([(i, 2000, [f"i{k:03d}" for k in range(80)]) for i in range(2)], "row_id long, year int, items array<string>")
+    found = itemsets.yearly_metrics(long.withColumn("items", F.slice("items", 1, 66)), ItemsetConfig(min_lift=0.0))
+    assert {r["size"]: r["count"] for r in found.groupBy("size").count().collect()} == {2: math.comb(66, 2), 3: math.comb(66, 3)}
+
+
 def test_df_band(spark):
     df = spark.createDataFrame([(i, 2000, ["x", "x"] if i < 3 else ["y"]) for i in range(10)], "row_id long, year int, items array<string>")
     assert itemsets.df_band(df, 3, 0.25).count() == 0

@@ -47,17 +47,34 @@ def pairs_of(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
+def edges_of(tx: DataFrame, max_items: int, long_rows: bool) -> DataFrame:
+    """row_id, year, a, b: the pairs a < b of each row. long_rows: a row of more than max_items items gets its pairs from a
+    join of its items with themselves, so that no row holds an array of them."""
+    # explode_outer: explode would have the planner test the size of the array first, and so make all pairs twice
+    within = lambda rows: rows.select("row_id", "year", F.explode_outer(pairs_of(F.col("items"))).alias("p")).filter("p IS NOT NULL").select("row_id", "year", "p.*")
+    if not long_rows:
+        return within(_short(tx, max_items))
+    # one block of max_items items meets another in a task
+    block = lambda c: (F.col(c) / F.lit(max_items)).cast("int")
+    items = tx.filter(F.size("items") > max_items).select("row_id", "year", F.size("items").alias("n"), F.posexplode("items").alias("i", "item"))
+    blocks = F.floor((F.col("n") - 1) / max_items).cast("int")
+    left = items.select("row_id", "year", F.col("item").alias("a"), F.col("i").alias("at_a"), block("i").alias("x"), F.explode(F.sequence(block("i"), blocks)).alias("y"))
+    right = items.select("row_id", "year", F.col("item").alias("b"), F.col("i").alias("at_b"), block("i").alias("y"), F.explode(F.sequence(F.lit(0), block("i"))).alias("x"))
+    met = left.join(right, ["row_id", "year", "x", "y"]).filter("at_a < at_b").select("row_id", "year", "a", "b")
+    return within(tx.filter(F.size("items") <= max_items)).unionByName(met)
+
+
 def least_count(n: Column, p: ItemsetConfig) -> Column:
     """In double arithmetic throughout: 7 % of 100 is over 7."""
     return F.greatest(F.lit(p.min_count).cast("long"), F.ceil(F.lit(float(p.minsup_frac)) * n.cast("double")))
 
 
-def frequent_pairs(tx: DataFrame, p: ItemsetConfig) -> DataFrame:
-    """year, a, b, count, supp, lift of the pairs with enough support and lift in their year."""
+def frequent_pairs(tx: DataFrame, p: ItemsetConfig, long_rows: bool = False) -> DataFrame:
+    """year, a, b, count, supp, lift of the pairs with enough support and lift in their year. Rows of more than max_items
+    items are an error, or with long_rows mined like all others."""
     sizes = year_sizes(tx)
     singles = tx.select("year", F.explode("items").alias("item")).groupBy("year", "item").agg(F.count("*").alias("c"))
-    # explode_outer: explode would have the planner test the size of the array first, and so make all pairs twice
-    counted = _short(tx, p.max_items).select("year", F.explode_outer(pairs_of(F.col("items"))).alias("p")).filter("p IS NOT NULL").groupBy("year", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
+    counted = edges_of(tx, p.max_items, long_rows).groupBy("year", "a", "b").agg(F.count("*").alias("count"))
     enough = counted.join(F.broadcast(sizes), "year").filter(F.col("count") >= least_count(F.col("n"), p))  # a row for each year
     a, b = (singles.select("year", F.col("item").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab")
     share = lambda c: F.col(c).cast("double") / F.col("n")
@@ -65,9 +82,9 @@ def frequent_pairs(tx: DataFrame, p: ItemsetConfig) -> DataFrame:
     return lifted.filter(F.col("lift") >= float(p.min_lift)).select("year", "a", "b", "count", "supp", "lift")
 
 
-def frequent_triples(tx: DataFrame, strong: DataFrame, p: ItemsetConfig) -> DataFrame:
-    """year, a, b, c, count, supp, lift_min of the triples whose three pairs are strong in the year."""
-    edges = _short(tx, p.max_items).select("row_id", "year", F.explode_outer(pairs_of(F.col("items"))).alias("p")).filter("p IS NOT NULL").select("row_id", "year", "p.*")
+def frequent_triples(tx: DataFrame, strong: DataFrame, p: ItemsetConfig, long_rows: bool = False) -> DataFrame:
+    """year, a, b, c, count, supp, lift_min of the triples whose three pairs are strong in the year. long_rows: as in frequent_pairs."""
+    edges = edges_of(tx, p.max_items, long_rows)
     edges = edges.join(strong.select("year", "a", "b", "lift"), ["year", "a", "b"])
     # the strong pairs of a row, and the triangles among them
     held = edges.groupBy("row_id", "year").agg(F.sort_array(F.collect_list(F.struct("a", "b", "lift"))).alias("e")).filter(F.size("e") >= 3)
@@ -93,8 +110,8 @@ def frequent_triples(tx: DataFrame, strong: DataFrame, p: ItemsetConfig) -> Data
 
 def yearly_metrics(tx: DataFrame, p: ItemsetConfig) -> DataFrame:
     """year, items (sorted array), size, count, supp, lift (of a triple: its least pair lift), for all years at once."""
-    pairs = frequent_pairs(tx, p)
-    triples = frequent_triples(tx, pairs, p)
+    pairs = frequent_pairs(tx, p, long_rows=True)
+    triples = frequent_triples(tx, pairs, p, long_rows=True)
     two = pairs.select("year", F.array("a", "b").alias("items"), F.lit(2).alias("size"), "count", "supp", "lift")
     three = triples.select("year", F.array("a", "b", "c").alias("items"), F.lit(3).alias("size"), "count", "supp", F.col("lift_min").alias("lift"))
     return two.union(three)

@@ -139,14 +139,14 @@ def yearly_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_tx_sql(NAMES, 'p_name')} SELECT yr, a, b, cnt, round(supp, 9) AS supp, round(lift, 9) AS lift FROM strong")
 def frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = itemsets.frequent_pairs(_tx(spark, sf_dir, NAMES, "p_name"), NAMES)
+    found = itemsets.frequent_pairs(_tx(spark, sf_dir, NAMES, "p_name"), NAMES, long_rows=True)
     return found.select(F.col("year").alias("yr"), "a", "b", F.col("count").alias("cnt"), F.round("supp", 9).alias("supp"), F.round("lift", 9).alias("lift"))
 
 
 @query(f"WITH {_metrics_sql(TYPES, 'p_type', True)} SELECT yr, a, b, c, cnt, round(supp, 9) AS supp, round(lift_min, 9) AS lift_min FROM triples")
 def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = _tx(spark, sf_dir, TYPES, "p_type")
-    found = itemsets.frequent_triples(tx, itemsets.frequent_pairs(tx, TYPES), TYPES)
+    found = itemsets.frequent_triples(tx, itemsets.frequent_pairs(tx, TYPES, long_rows=True), TYPES, long_rows=True)
     return found.select(F.col("year").alias("yr"), "a", "b", "c", F.col("count").alias("cnt"), F.round("supp", 9).alias("supp"), F.round("lift_min", 9).alias("lift_min"))
 
 
@@ -155,7 +155,7 @@ def _series(spark: SparkSession, sf_dir: str, p: ItemsetConfig, item: str, tripl
     if triples:
         found = cut(itemsets.yearly_metrics(tx, p))
     else:
-        found = itemsets.frequent_pairs(tx, p).select("year", F.array("a", "b").alias("items"), F.lit(2).alias("size"), "supp")
+        found = itemsets.frequent_pairs(tx, p, long_rows=True).select("year", F.array("a", "b").alias("items"), F.lit(2).alias("size"), "supp")
     return trends.series(found, tx)
 
 
@@ -688,7 +688,7 @@ def _doc_itemsets(spark: SparkSession, sf_dir: str, words: DataFrame, papers: Da
     p = DOC_SETS
     tx = itemsets.transactions(listed, itemsets.df_band(listed, p.df_min_count, p.df_max_frac))
     loose = ItemsetConfig(**(vars(p) | {"min_lift": 0.0}))
-    found = itemsets.frequent_pairs(tx, loose).groupBy("a", "b").agg(F.sum("count").alias("score"))
+    found = itemsets.frequent_pairs(tx, loose, long_rows=True).groupBy("a", "b").agg(F.sum("count").alias("score"))
     top = found.orderBy(F.desc("score"), "a", "b").limit(p.top_m)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "a", "b"))).select("rank", F.array("a", "b").alias("items"), F.col("score").cast("double").alias("score"))
 
