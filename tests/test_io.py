@@ -63,6 +63,18 @@ def test_command_line(spark, csv_path, tmp_path):
     assert json.loads(writers.read_text(spark, f"{out}/run_config.json"))["target_year"] == 2016
 
 
+def test_keyword_summary_lists_every_topic(spark, tmp_path):
+    lines = ["paper_id,title,abstract,year,citation_count,topics"]
+    lines += [f"p{i},graph cut flow,sorting words,{2015 + i % 2},{i},\"['T{i // 2:03d}']\"" for i in range(240)]
+    (tmp_path / "many.csv").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    run.main(["keywords", "--input", str(tmp_path / "many.csv"), "--outdir", out, "--window-start", "2015", "--window-end", "2015", "--target-year", "2016", "--min-df", "1", "--ngrams", "1"])
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "summary.txt").glob("part-*"))).splitlines()
+    topics = [x.split(" | ")[0] for x in text if " | window papers=" in x]
+    assert topics == [f"T{k:03d}" for k in range(120)] and "Keywords by topic" in text[0]
+    assert sum(x.startswith(" - ") and ": influence=" in x for x in text) >= 120
+
+
 def test_stream_is_the_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "events"))

@@ -66,3 +66,11 @@ def citation_degrees(edges: DataFrame) -> DataFrame:
     """node, cites, cited of directed edges (src, dst)."""
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("node").agg(F.sum("o").alias("cites"), F.sum("i").alias("cited"))
+
+
+def keyword_lines(top: DataFrame) -> DataFrame:
+    """line: every topic with its papers, and below it its keywords with their scores; top is top_per_topic's table. In order."""
+    papers = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("string")
+    heads = top.groupBy("topic").agg(F.concat(F.lit("\n"), F.col("topic"), F.lit(" | window papers="), papers("topic_window_papers"), F.lit(" | target papers="), papers("topic_target_papers")).alias("line")).select("topic", F.lit(0).alias("rank"), "line")
+    scores = F.format_string(" - %s: influence=%.3f, strength=%.3f, specificity=%.3f, continuity=%.3f, trend=%.3f", "keyword", "influence_score", "raw_strength", "topic_specificity", "continuity", "trend_ratio")
+    return heads.unionByName(top.select("topic", "rank", scores.alias("line"))).orderBy("topic", "rank").select("line")

@@ -155,7 +155,8 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in found.items():
             writers.write_csv(df, f"{p.outdir}/{name}.csv")
         writers.write_json(spark, f"{p.outdir}/run_config.json", dataclasses.asdict(p))
-        writers.write_text(spark, f"{p.outdir}/summary.txt", writers.summary("Keywords by topic", dataclasses.asdict(p), writers.records(found["topic_keyword_summary"], 100), ("topic", "top_keywords")))
+        facts = spark.createDataFrame([(writers.summary("Keywords by topic", dataclasses.asdict(p), [], ()).rstrip("\n"),)], "line string").coalesce(1)
+        facts.union(reports.keyword_lines(found["top_keywords_per_topic"])).write.mode("overwrite").text(f"{p.outdir}/summary.txt")  # parts in order, all topics
     elif plan == "itemsets":
         found = mine_itemsets(papers, p)
         rows = writers.records(found["ranking"], p.top_m)
