@@ -5,17 +5,17 @@ The tokenizer's splitting pattern
     's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 
 is compiled into a deterministic transducer over character classes: each transition either
-keeps the open piece or closes pieces, and a closed piece emits its number of tokens (the
-vocabulary's merges never cross a piece). Runs of the transducer over the recurring symbols of
+keeps the open piece or closes pieces; the number of tokens of a closed piece comes from the
+library (the vocabulary's merges never cross a piece). Runs of the transducer over the recurring symbols of
 a text (a word with the white space before it) are remembered with their counts, so a
 transition on a whole symbol is one lookup.
 
-A long text is cut into chunks at fixed places. Each chunk is turned, on its own, into a state
-map: what it emits and where it ends for every state and open piece it may be entered with.
+A long text is cut into chunks at fixed places. Each chunk is turned, on its own, into a map
+that serves every state and open piece it may be entered with.
 Wherever white space follows another character every state meets in one, so a map is three
 parts: a head (run from the entry state), an inner count, and a tail (which gives the exit
-state). Maps compose associatively; a parallel prefix scan (pairs, then pairs of pairs)
-composes the chunks of a text.
+state); head and tail are kept as text. Maps compose associatively; pairs, then pairs of pairs
+are composed, one after the other within a row.
 
 Special strings are found first, as the library does, and count one token each.
 
