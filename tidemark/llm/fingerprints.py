@@ -23,6 +23,8 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 #: Bytes hashed at a time; a longer text is hashed whole.
 SLICE = 1 << 19
+#: Texts in a batch at most: their numbers have 16 bits.
+ROWS = 1 << 16
 
 
 class _Powers:
@@ -179,7 +181,7 @@ def signatures(hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of some batches in batches of about `size` bytes of text; a longer text stands alone."""
+    """The rows of some batches in batches of about `size` bytes of text and ROWS rows at most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -187,7 +189,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 <<
         lo = 0
         while lo < batch.num_rows:
             before = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+            hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
