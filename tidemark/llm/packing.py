@@ -11,6 +11,9 @@ the input; it is the only thing broadcast.
 A piece finds its run by its rank among the pieces of its length: its number within its
 input partition plus the counts of that length in the partitions before.
 
+Words are known by 64-bit hashes: two words of one hash would share their ids (about one chance in
+10**7 for a million words in memory at a time).
+
 Defined results: null and empty texts hold the end token only; repeated rows are separate
 documents; an empty table packs into nothing; other columns are ignored.
 """
@@ -18,9 +21,12 @@ documents; an empty table packs into nothing; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +43,20 @@ _RANKS = 1 << 44  # pieces of one length at most
 BATCH = 2 << 20
 
 
+#: Words whose normal form is their lower case, whatever stands beside them: visible ASCII and Latin-1.
+_PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+
+
 class WordTokens:
     """Token ids of texts under a tokenizer that drops white space between words, so that every
     run of other characters is encoded on its own. Words are known by their 64-bit hashes, in
-    arrays; the new words of a batch are encoded together, with a special token between them.
-    Beyond SIZE words, only those of the batch at hand stay known."""
+    arrays; beyond SIZE words, only those of the batch at hand stay known.
 
-    SIZE, BLOCK = 1_000_000, 8192
+    New plain words are lower-cased and split by the tokenizer's own pattern, and its model is asked
+    once for each piece (PIECES are remembered). All others go through the whole tokenizer together,
+    with a special token between them."""
+
+    SIZE, PIECES, BLOCK = 1_000_000, 300_000, 1024
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,16 +65,54 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between_id = self.tokenizer.token_to_id(self.special[0])
+        self.split, self.pieces = self._splitter(path), {"\n": b""}
         self._know(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4"))
 
+    def _splitter(self, path: str):
+        """Pieces and line breaks of lower-cased plain words joined by line breaks; None if the tokenizer does
+        more than normal form, blanks, lower case, its pattern and bytes."""
+        import regex
+        from tokenizers import pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [x.get("type") for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec.get(part) or {}).get(name, [])]
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            return None
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(33, 256)}
+        return regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
+
     def _know(self, words: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
         """words, ascending; the ids of each are pool[at : at + size]."""
         self.words, self.at, self.size, self.pool = words, at, size, pool
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and their number by word; a block of words at a time."""
-        blocks = [self._encode_block(words[i : i + self.BLOCK]) for i in range(0, len(words), self.BLOCK)]
-        return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+        plain = np.array([self.split is not None and "<" not in w and _PLAIN.fullmatch(w) is not None for w in words])
+        ids, sizes = [], np.zeros(len(words), dtype=np.int64)
+        for at, encode in ((np.flatnonzero(plain), self._encode_plain), (np.flatnonzero(~plain), self._encode_block)):
+            for block in np.split(at, range(self.BLOCK, len(at), self.BLOCK)) if len(at) else []:
+                found, sizes[block] = encode([words[k] for k in block.tolist()])
+                ids.append((block, found))
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(ends[-1]), dtype="<u4")
+        for block, found in ids:
+            n = sizes[block]
+            out[np.repeat((ends - sizes)[block] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+        return out, sizes
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.split.findall("\n".join(words).lower() + "\n")
+        new = [x for x in dict.fromkeys(found) if x not in self.pieces]
+        if len(self.pieces) + len(new) > self.PIECES:
+            self.pieces, new = {"\n": b""}, [x for x in dict.fromkeys(found) if x != "\n"]
+        tokenize, shown = self.tokenizer.model.tokenize, self.shown
+        for x in new:
+            self.pieces[x] = pack_ids("<%dI" % len(tokens := tokenize(x if x.isascii() else x.translate(shown))), *[t.id for t in tokens])
+        got = list(map(self.pieces.__getitem__, found))
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))[np.fromiter((x == "\n" for x in found), bool, len(found))] // 4
+        return np.frombuffer(b"".join(got), "<u4"), np.diff(ends, prepend=0)
 
     def _encode_block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [k for k, w in enumerate(words) if "<" not in w]  # others may hold a special token
@@ -162,8 +213,9 @@ class _Lengths:
             mask ^= 1 << k
         return 0
 
-    def shortest(self, how_many: int, without: dict[int, int]) -> list[int]:
-        out, mask = [], self.mask
+    def shortest(self, how_many: int, without: dict[int, int], over: int = 0) -> list[int]:
+        """The shortest lengths over a length, as often as they are left, how_many at most."""
+        out, mask = [], self.mask >> (over + 1) << (over + 1)
         while mask and len(out) < how_many:
             k = (mask & -mask).bit_length() - 1
             out += [k] * min(how_many - len(out), self.n[k] - without.get(k, 0))
@@ -197,7 +249,7 @@ def dominating(left: _Lengths, j: int, capacity: int) -> list[int] | None:
         return [best]
     if a != best:
         return None
-    longer = [k for k in left.shortest(10**9, own) if k > b][:2] if b < room else []
+    longer = left.shortest(2, own, over=b) if b < room else []
     return [a, b] if len(longer) < 2 or sum(longer) > room else None
 
 
