@@ -7,6 +7,7 @@ columns of documents. run() writes each stage's result in the shared folder and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, mixing, packing, secret_scan, toxicity
 from tidemark.llm.common import DOCUMENT_COLUMNS, cut, shuffle_partitions, table
@@ -30,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shards = shuffle_partitions(spark)
     drawn = mixing.draw(docs.select(*DOCUMENT_COLUMNS), mixing.Mixture(shards=shards))
     mixed = mixing.mixed_documents(drawn, list(DOCUMENT_COLUMNS))
-    return mixed.repartition(shards, "shard").sortWithinPartitions("shard", "key").select(*DOCUMENT_COLUMNS)
+    return mixed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select(*DOCUMENT_COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

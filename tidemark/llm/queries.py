@@ -45,7 +45,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    drawn = mixing.draw(mixing.sizes(table(spark, sf_dir, "documents")))
     return drawn.select("doc_id", "size", "source_size", "target", mixing.taken(drawn).alias("taken"))
 
 
@@ -167,8 +167,46 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rn FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([5, 2, 1][rn % 3 + 1] AS BIGINT) AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s
+), o AS (  -- sources that reach three times their size first come first
+  SELECT *, CAST(coalesce(sum(3 * source_size) OVER (ORDER BY source_size::DOUBLE / weight, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+         CAST(sum(weight) OVER (ORDER BY source_size::DOUBLE / weight DESC, rn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS weights
+  FROM w WHERE source_size > 0
+), c AS (
+  SELECT *, bool_and(weight * (total - before) > 3 * source_size * weights) OVER (ORDER BY source_size::DOUBLE / weight, rn ROWS UNBOUNDED PRECEDING) AS full_ FROM o
+), l AS (
+  SELECT CAST(coalesce(sum(3 * source_size) FILTER (WHERE full_), 0) AS BIGINT) AS capped, CAST(coalesce(sum(weight) FILTER (WHERE NOT full_), 1) AS BIGINT) AS free FROM c
+), g AS (
+  SELECT source, source_size,
+         CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE (weight * (total - capped))::DOUBLE / free::DOUBLE END AS target,
+         CASE WHEN full_ THEN 3 * source_size ELSE (2 * weight * (total - capped) + free) // (2 * free) END AS quota
+  FROM c, l UNION ALL SELECT source, source_size, 0.0, 0 FROM w WHERE source_size = 0
+), n AS (
+  SELECT greatest(256, (max(source_size) + 4194303) // 4194304) AS blocks FROM s
+), b AS (
+  SELECT source, place % blocks AS block, sum(size) AS words FROM d, n GROUP BY 1, 2
+), last AS (
+  SELECT b.source, block, source_size, target, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS epochs,
+         greatest(0, least(words, CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END
+           - coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS last_words
+  FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, last_words - coalesce(sum(size) OVER (PARTITION BY d.source, block ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM d JOIN n ON true JOIN last ON d.source IS NOT DISTINCT FROM last.source AND place % blocks = block
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
+    "op7_source_mixing": _OP7,
     "op8_topk_search": _OP8,
     "op9_chat_format": _OP9,
 }
