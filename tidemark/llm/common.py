@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cut_in_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """cut(), dealt by the keys into buckets: joins on these keys then move the other side only."""
+    spark = df.sparkSession
+    n, name = shuffle_partitions(spark), f"tidemark_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", new_path(spark)).saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where they are, and the plan knows them
+    return written
+
+
 def words_col(text):
     """The words of a text column as an array (null: no words), with JVM functions only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

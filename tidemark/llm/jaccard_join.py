@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, cut_in_buckets, shuffle_partitions
 from .components import components
 from .fingerprints import deal, shingle_sets, signatures, sub_batches
 
@@ -162,7 +162,9 @@ def ordered_classes(docs: DataFrame, classes: DataFrame, p: Links) -> DataFrame:
     smallest = F.ceil(F.col("n") * p.percent / 100)  # the smallest set that a link may lead to
     may = classes.filter(F.col("shared") >= F.least(F.lit(1) + F.floor(smallest / 10), F.col("n"))).select("cls", "n", F.col("doc_id").alias("c_doc"), F.col("h").alias("c_h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    texts = keyed.join(may, (F.col("doc_id") == F.col("c_doc")) & (F.col("h") == F.col("c_h"))).select("cls", "n", "text")
+    joined = keyed.join(may, (F.col("doc_id") == F.col("c_doc")) & (F.col("h") == F.col("c_h")))
+    # repeated rows of one document would count twice; the join has dealt and sorted them
+    texts = joined.groupBy("doc_id", "h").agg(F.first("cls").alias("cls"), F.first("n").alias("n"), F.first("text").alias("text")).select("cls", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
@@ -170,9 +172,8 @@ def ordered_classes(docs: DataFrame, classes: DataFrame, p: Links) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["cls", "n", "hashes"])
 
-    # repeated rows of one document would count twice
-    held = texts.mapInArrow(run, "cls bigint, n bigint, hashes array<bigint>").groupBy("cls", "n").agg(F.first("hashes").alias("hashes"))
-    each = cut(held).select("cls", "n", F.explode("hashes").alias("hash"))
+    held = cut(texts.mapInArrow(run, "cls bigint, n bigint, hashes array<bigint>"))
+    each = held.select("cls", "n", F.explode("hashes").alias("hash"))
     frequency = each.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
     tokens = each.join(frequency, "hash").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("tokens"))
     return cut(tokens.filter(F.size("tokens") * 100 >= F.col("n") * p.percent))
@@ -187,20 +188,33 @@ def _place(token: Column) -> Column:
 
 
 def segments(ordered: DataFrame, p: Links) -> DataFrame:
-    """cls, fragment, hashes: each class's tokens, cut where the global order is cut."""
+    """cls, fragment, hashes: each class's tokens, cut where the global order is cut; in buckets by class and fragment."""
     places = ordered.select(F.explode(F.transform("tokens", _place)).alias("x"))
     cuts = places.agg(F.percentile_approx("x", [k / p.fragments for k in range(1, p.fragments)], 1000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    fragment = sum((F.when(_place(F.col("t")) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    rows = ordered.select("cls", F.explode("tokens").alias("t")).select("cls", fragment.alias("fragment"), F.col("t.hash").alias("hash"))
-    return cut(rows.groupBy("cls", "fragment").agg(F.collect_list("hash").alias("hashes")))
+    bounds = np.array(sorted(set(cuts)), dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, places, hashes = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            ends = places.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            part = np.searchsorted(bounds, places.values.to_numpy()[ends[0] : ends[-1]])
+            order = np.lexsort((part, row))
+            key = row[order] * (len(bounds) + 1) + part[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(hashes.values.to_numpy()[ends[0] : ends[-1]][order]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[row[order][first]]), pa.array(part[order][first].astype(np.int32)), lists], names=["cls", "fragment", "hashes"])
+
+    rows = ordered.select("cls", F.transform("tokens", _place).alias("places"), F.transform("tokens", lambda t: t["hash"]).alias("hashes"))
+    return cut_in_buckets(rows.mapInArrow(run, "cls bigint, fragment int, hashes array<bigint>"), "cls", "fragment")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, p: Links) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that link: overlaps of each fragment, summed per pair."""
+    """The pairs (a, b, n_a, n_b) that link: overlaps of each fragment, summed per pair. Only the fragments of a move."""
     of_a = parts.select(F.col("cls").alias("a"), "fragment", F.col("hashes").alias("x"))
     of_b = parts.select(F.col("cls").alias("b"), "fragment", F.col("hashes").alias("y"))
-    partial = pairs.join(of_a, "a").join(of_b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("o"))
+    in_parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(p.fragments - 1))))
+    partial = in_parts.join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("o"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o"))
     return summed.filter(100 * F.col("o") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
@@ -301,55 +315,38 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
 
 
 def residual(rooted: DataFrame, ordered: DataFrame, p: Links) -> DataFrame:
-    """Pairs of different components around a token that may link. A group over p.block classes is split
-    into blocks, and every two blocks meet in a task of their own."""
+    """Pairs of different components around a token that may link. The classes of a group are packed in blocks of about
+    p.block, and every two blocks of a group meet as one row."""
     blocks = F.ceil(F.col("size") / p.block).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), F.col("cls")), blocks).cast("int")
-    with_bits = rooted.join(sketches(ordered.join(rooted.select("cls").distinct(), "cls", "left_semi")), "cls")
+    bits = sketches(ordered.join(rooted.select("cls").distinct(), "cls", "left_semi"))
     lone = ordered.select("cls", (F.col("n") - F.size("tokens")).alias("lone"))
-    dealt = (
-        with_bits.join(lone, "cls")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "n", "pos", "before", "root", "lone", "bits")
-    )
-    keys = ["token", "x", "y"]
-    tasks = dealt.repartition(shuffle_partitions(rooted.sparkSession), *keys).sortWithinPartitions(*keys)
+    member = F.struct("cls", "n", "pos", "before", "root", "lone", "bits")
+    packed = rooted.join(bits, "cls").join(lone, "cls").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), F.col("cls")), blocks).cast("int")).withColumn("blocks", blocks)
+    packed = packed.groupBy("token", "mine", "blocks").agg(F.collect_list(member).alias("held"))
+    alone = packed.filter("blocks = 1").select(F.col("held").alias("l"), F.lit(None).cast(packed.schema["held"].dataType).alias("r"))
+    many = cut(packed.filter("blocks > 1"))
+    left = many.select("token", F.col("mine").alias("x"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("y"), F.col("held").alias("l"))
+    right = many.select("token", F.explode(F.sequence(F.lit(0), "mine")).alias("x"), F.col("mine").alias("y"), F.when(F.col("x") < F.col("y"), F.col("held")).alias("r"))
+    met = left.join(right, ["token", "x", "y"]).select("l", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
-                yield from done(held)
-                held = []
-            at = 0
-            for end in ends.tolist():
-                held.append(batch.slice(at, end - at))
-                yield from done(held)
-                held, at = [], end
-            held.append(batch.slice(at))
-        yield from done(held)
-
-    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held or sum(b.num_rows for b in held) < 2:
-            return
-        t = pa.Table.from_batches(held)
-        before = t.column("before").combine_chunks()
-        rows = {c: t.column(c).to_numpy() for c in ("cls", "n", "pos", "root", "lone", "mine")}
-        rows |= {"some": np.asarray(before.is_valid()), "before": np.asarray(pc.fill_null(before, 0))}
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(rows["mine"] == x), np.flatnonzero(rows["mine"] == y)
-        for i, j in compare_block(rows, t.column("bits").to_pylist(), left, right, p):
-            swap = rows["cls"][i] > rows["cls"][j]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            pairs = np.unique(np.stack([rows["cls"][a], rows["cls"][b], rows["n"][a], rows["n"][b]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], names=["a", "b", "n_a", "n_b"])
-
-    return tasks.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
+            for k in range(batch.num_rows):
+                sides = [c[k].values for c in batch.columns if c[k].is_valid]
+                rows = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in sides])
+                if rows.num_rows < 2:
+                    continue
+                before = rows.column("before").combine_chunks()
+                known = {c: rows.column(c).to_numpy() for c in ("cls", "n", "pos", "root", "lone")} | {"some": np.asarray(before.is_valid()), "before": np.asarray(pc.fill_null(before, 0))}
+                first = np.arange(len(sides[0]))
+                second = np.arange(len(sides[0]), rows.num_rows) if len(sides) > 1 else first
+                for i, j in compare_block(known, rows.column("bits").to_pylist(), first, second, p):
+                    swap = known["cls"][i] > known["cls"][j]
+                    a, b = np.where(swap, j, i), np.where(swap, i, j)
+                    pairs = np.unique(np.stack([known["cls"][a], known["cls"][b], known["n"][a], known["n"][b]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], names=["a", "b", "n_a", "n_b"])
+
+    return alone.unionByName(met).mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, p: Links = Links()) -> DataFrame:
