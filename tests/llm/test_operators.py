@@ -386,6 +386,36 @@ def test_topk(spark):
     assert topk_search.search(topk_search.quantised(empty), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_in_rounds(spark):
+    random.seed(18)
+    rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(90)]
+    table = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(topk_search.search(table, F.col("vec_id") % 3 == 0)) == key(topk_search.search(table, F.col("vec_id") % 3 == 0, round_bytes=1))
+    assert topk_search.rounds([(0, 5), (1, 5), (2, 9), (3, 20), (4, 1)], 10) == [[0, 1], [2], [3], [4]]
+
+
+def test_topk_skips_what_cannot_reach_the_cutoff():
+    """The work after the cutoff: none in a block whose lists can't add up to it, and only the lists that can reach their share."""
+    rng = np.random.default_rng(1)
+    block = lambda rows, first: (np.arange(first, first + len(rows), dtype="<i8").tobytes(),) * 2 + (np.array(rows, dtype="<i2").tobytes(), len(rows[0]))
+    near, far, query = rng.integers(200, 256, (500, 16)), rng.integers(-256, -200, (500, 16)), rng.integers(1, 20, (40, 16))
+    first = topk_search._Pair(block(query, 10_000), block(near, 0))
+    heads = list(topk_search._heads(first, 5))
+    assert first.made == 40 * 500 * topk_search.LISTS
+    cutoffs = np.full(40, -(1 << 62), dtype=np.int64)
+    for pos, scores in heads:
+        for x in range(40):
+            cutoffs[x] = sorted(scores[pos == x])[-5]
+    other = topk_search._Pair(block(query, 10_000), block(far, 1000))
+    assert not list(topk_search._resolved(other, cutoffs, 5)) and other.made == 0
+    one = np.zeros((40, 16), dtype=int)
+    one[:, 0] = 10  # all in the first list
+    lopsided = topk_search._Pair(block(one, 10_000), block(near, 0))
+    (pos, scores, ids, _), = topk_search._resolved(lopsided, np.full(40, 10 * int(near[:, 0].max())), 5)
+    assert lopsided.made == 40 * 500 and set(pos.tolist()) == set(range(40)) and set(scores.tolist()) == {10 * int(near[:, 0].max())}
+
+
 def test_topk_beyond_floats():
     big = 1 << 30
     block = lambda rows: (np.arange(len(rows), dtype="<i8").tobytes(), np.arange(len(rows), dtype="<i8").tobytes(), np.array(rows, dtype="<i8").tobytes(), 2)
