@@ -140,7 +140,7 @@ def _texts_of_chunk(table: pa.Table) -> pa.Table:
 def sets(docs: DataFrame, p: Links = Links()) -> DataFrame:
     """uid, doc_id, h (hash of the text), n (shingles), a and b (hash of the set), shared (how many of the
     first shingles other texts have among theirs), one row for each document, as a written table."""
-    parts = min(1 << 16, 4 * shuffle_partitions(docs.sparkSession))
+    parts = 4 * shuffle_partitions(docs.sparkSession)
     schema = ", ".join(f"{n} {'bigint' if n == 'chunk' else 'binary'}" for n in _NAMES if n not in ("p", "prints"))
     shared = _messages(docs, parts, p).groupBy("p").applyInArrow(_shared_in_part, schema)
     return cut(shared.groupBy("chunk").applyInArrow(_texts_of_chunk, "uid bigint, doc_id bigint, h bigint, n bigint, a bigint, b bigint, shared bigint"))

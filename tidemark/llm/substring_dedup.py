@@ -166,10 +166,9 @@ def contains(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 # ---- 1. which windows may be repeated
 
-_MESSAGE = "p int, chunk bigint, texts binary, places binary, hashes binary, doc_ids binary, known binary, words binary, h binary, whole binary, digests binary"
+_MESSAGE = "p int, chunk bigint, texts binary, places binary, hashes binary, twice binary, doc_ids binary, known binary, words binary, h binary, whole binary, digests binary"
 _NAMES = [c.split()[0] for c in _MESSAGE.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
-_ABOUT = _NAMES[5:]
+_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
 
 
 def digest(words: list[bytes]) -> bytes:
@@ -178,7 +177,8 @@ def digest(words: list[bytes]) -> bytes:
 
 def fingerprint_messages(docs: DataFrame, parts: int, window: int, anchor: int) -> DataFrame:
     """For each chunk of texts, a row for each part of the hash space with the fingerprints, the texts
-    and places they are at; and a row (p < 0) about the texts."""
+    and places they are at; and a row (p < 0) about the texts. A fingerprint that is twice or more in the
+    chunk is known to be repeated: it goes once, in twice, and its places stay with the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -190,22 +190,27 @@ def fingerprint_messages(docs: DataFrame, parts: int, window: int, anchor: int)
             where = chosen(at, least, begins, window - anchor + 1)
             text = _text_of(words)[where]
             place = where - (words.ends - words.counts)[text]
-            order, bounds = deal(at[where], parts)
-            text, place, hashes = text[order], place[order], at[where][order]
+            distinct, which, counts = np.unique(at[where], return_inverse=True, return_counts=True)
+            one, twice = counts[which] == 1, distinct[counts > 1]
+            here = (_bytes(text[~one].astype("<u2")), _bytes(place[~one].astype("<u4")))
+            order, bounds = deal(at[where][one], parts)
+            text, place, hashes = text[one][order], place[one][order], at[where][one][order]
+            twice_order, twice_bounds = deal(twice, parts)
+            twice = twice[twice_order]
             ids = batch.column(0)
             digests = b"".join(digest((t.as_py() or "").encode().split()) for t in batch.column(1))
             about = (_bytes(np.asarray(pc.fill_null(ids, 0), dtype="<i8")), _bytes(np.asarray(ids.is_valid())), _bytes(words.counts.astype("<i8")), _bytes(np.asarray(batch.column(2), dtype="<i8")), _bytes(words.whole(np.arange(len(words.ends)))), digests)
-            rows = [(-1 - chunk % parts, chunk, None, None, None, *about)]
-            for p, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if hi > lo:
-                    rows.append((p, chunk, _bytes(text[lo:hi].astype("<u2")), _bytes(place[lo:hi].astype("<u4")), _bytes(hashes[lo:hi]), *[None] * 6))
+            rows = [(-1 - chunk % parts, chunk, *here, None, None, *about)]
+            for p, (lo, hi, a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), twice_bounds[:-1].tolist(), twice_bounds[1:].tolist(), strict=True)):
+                if hi > lo or b > a:
+                    rows.append((p, chunk, _bytes(text[lo:hi].astype("<u2")), _bytes(place[lo:hi].astype("<u4")), _bytes(hashes[lo:hi]), _bytes(twice[a:b]), *[None] * 6))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
             chunk += 1
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, _MESSAGE)
 
 
-_BACK = [n for n in _NAMES if n not in ("p", "hashes")]
+_BACK = [n for n in _NAMES if n not in ("p", "hashes", "twice")]
 
 
 def _repeated_in_part(messages: pa.Table, run: pa.Table) -> pa.Table:
@@ -244,12 +249,12 @@ def _documents_of_chunk(table: pa.Table) -> pa.Table:
 def suspects(docs: DataFrame, window: int, anchor: int, batches: int) -> DataFrame:
     """uid, doc_id, h, whole, n_words, digest (of all words) and places (of repeated fingerprints), one row for each
     document, as a written table. The documents enter the index in `batches` batches."""
-    parts = min(1 << 16, 4 * shuffle_partitions(docs.sparkSession))
+    parts = 4 * shuffle_partitions(docs.sparkSession)
     messages = cut(fingerprint_messages(docs, parts, window, anchor))
     index = FingerprintIndex()
     for b in range(batches):
-        index.add(messages.filter((F.col("p") >= 0) & (F.col("chunk") % batches == b)))
-    back = messages.groupBy("p").cogroup(index.compacted().groupBy("p")).applyInArrow(_repeated_in_part, ", ".join(f"{n} {'bigint' if n == 'chunk' else 'binary'}" for n in _BACK))
+        index.add(messages.filter((F.col("p") >= 0) & (F.col("chunk") % batches == b)).select("p", F.concat("hashes", "twice", "twice").alias("hashes")))
+    back = messages.drop("twice").groupBy("p").cogroup(index.compacted().groupBy("p")).applyInArrow(_repeated_in_part, ", ".join(f"{n} {'bigint' if n == 'chunk' else 'binary'}" for n in _BACK))
     return cut(back.groupBy("chunk").applyInArrow(_documents_of_chunk, "uid bigint, doc_id bigint, h bigint, whole bigint, n_words bigint, digest binary, places binary"))
 
 
@@ -336,11 +341,14 @@ def removed_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 3) -> DataFrame:
     """uid, doc_id, n_words, n_removed, kept_sha256, one row for each document."""
     spark = docs.sparkSession
-    parts = min(1 << 16, 4 * shuffle_partitions(spark))
+    parts = 4 * shuffle_partitions(spark)
     found = suspects(docs, window, anchor, batches)
-    # copies of a text: one, with the least uid, stands for all in the count of windows
-    classes = found.filter(F.col("n_words") >= window).groupBy("h", "whole").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copied = cut(found.join(classes, ["h", "whole"]).select("uid", (F.col("uid") == F.col("first")).alias("is_first")))
+    # copies of a text: one, with the least uid, stands for all in the count of windows; a chunk of texts asks once for all its copies
+    asked = found.filter(F.col("n_words") >= window).select("uid", F.shiftright("uid", 16).alias("chunk"), "h", "whole")
+    by_chunk = cut(asked.groupBy("chunk", "h", "whole").agg(F.min("uid").alias("first"), F.count("*").alias("n")))
+    classes = by_chunk.groupBy("h", "whole").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    answers = by_chunk.select("chunk", "h", "whole").join(classes, ["h", "whole"])
+    copied = cut(asked.join(answers, ["chunk", "h", "whole"]).select("uid", (F.col("uid") == F.col("first")).alias("is_first")))
     needed = found.filter(F.col("places").isNotNull()).join(copied, "uid", "left").filter(F.col("is_first").isNull() | F.col("is_first"))
     needed = needed.select("uid", F.col("doc_id").alias("n_doc"), F.col("h").alias("n_h"), "places", F.coalesce("is_first", F.lit(False)).alias("copies"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
