@@ -81,6 +81,42 @@ def test_toxicity(spark):
     assert 0 <= toxicity.Matcher(toxicity.learn([], [])).score("idiot") < 0.7
 
 
+def plain_score(lexicon, text):
+    """The score by searching every entry and exception on its own."""
+    t, places = toxicity.fold(text), lambda key, t: [k for k in range(len(t)) if t.startswith(key, k)]
+    apart = lambda start, end, whole: not (start and t[start - 1].isalnum()) and not (whole and end < len(t) and t[end].isalnum())
+    excepted = [(k, k + len(x)) for x in lexicon.exceptions for k in places(x, t) if apart(k, k + len(x), True)]
+    best = {}
+    for key, (weight, whole) in lexicon.entries.items():
+        for k in places(key, t) if key in t else []:
+            if apart(k, k + len(key), whole) and not any(s <= k and k + len(key) <= e for s, e in excepted):
+                best[k] = max(best.get(k, 0), weight)
+    total, (a, b, c) = sum(best.values()), lexicon.curve
+    x, y = (math.log1p(total), math.log1p(100 * total / (text.count(" ") + 21))) if total else (0.0, 0.0)
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
+
+
+def test_toxicity_against_plain_search(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn_from(docs, labels)
+    assert lexicon.entries
+    extra = [(-1, " ".join(["log line"] * 30_000 + [*lexicon.entries] * 2), ""), (-2, " ".join([*lexicon.exceptions, *lexicon.entries]), ""), (-3, None, "")]
+    rows = docs.select("doc_id", "text").unionByName(documents(spark, extra).select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, lexicon).collect()}
+    short = [i for i, t in texts.items() if len(t) < 3000 or i < 0]
+    assert len(short) > 100 and all(got[i] == pytest.approx(plain_score(lexicon, texts[i])) for i in short)
+
+
+def test_toxicity_learning_is_the_same_each_time(spark):
+    """Several texts of one doc_id, conflicting labels and long texts: no run may choose."""
+    random.seed(10)
+    rows = [(i % 60, " ".join(random.choices([f"w{k}" for k in range(50)], k=30) + (["idiot"] if i % 3 == 0 else [])) * (30 if i % 10 == 0 else 1), "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(6, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    learnt = [toxicity.learn_from(documents(spark, rows).repartition(n, "text"), labels, toxicity.Learning(max_chars=400, stretch=50)) for n in (1, 5)]
+    assert learnt[0] == learnt[1] and learnt[0].entries
+
+
 def test_toxicity_learns_from_its_part_only(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
@@ -242,6 +278,11 @@ def best(sizes, capacity):
     return least[0]
 
 
+def test_plan_size_depends_on_the_capacity_alone():
+    patterns = packing.plan({1300: 10**9, 1200: 10**9, 900: 10**8, 4096: 7, 5: 3}, 4096)
+    assert len(patterns) < 50 and sum(n * bins for bins, held in patterns for _, n in held) == 2 * 10**9 + 10**8 + 10
+
+
 def test_plan_packs_all_and_reduction_loses_nothing():
     random.seed(4)
     for _ in range(150):
@@ -308,6 +349,20 @@ def test_jaccard_join(spark, p):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_results_do_not_depend_on_the_batch_size(spark):
+    """Text numbers have 16 bits: more rows than that in an Arrow batch are split."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        docs = spark.range(70_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 69_000).cast("string")).alias("text"))
+        found = jaccard_join.sets(docs)
+        assert found.count() == found.select("uid").distinct().count() == 70_000
+        joined = jaccard_join.join(docs).filter("component_id <> doc_id")
+        assert joined.count() == joined.filter("doc_id = component_id + 69000").count() == 1000
+        assert substring_dedup.dedup(docs, window=1, anchor=1).agg(F.count("*"), F.sum("n_removed"), F.count_distinct("uid")).first() == (70_000, 2000, 70_000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_jaccard_join_edges(spark):
     got = jaccard_join.join(documents(spark, EDGE, extra=True)).collect()
     assert len(got) == len(EDGE) and {r["component_id"] for r in got if r["doc_id"] is None} == {None}
@@ -366,6 +421,19 @@ def test_mixing(spark):
     assert mixing.draw(documents(spark, [])).count() == 0
 
 
+def test_mixing_ties(spark):
+    """Rows that share or lack a doc_id: reruns agree on what is taken of which text."""
+    rows = [(None if i % 2 else 5, f"t{i // 2} " * 4, "a") for i in range(40)] + [(9, "w " * 50, "b")]
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("text", "size", "draws").collect())
+    first = mixing.draw(documents(spark, rows))
+    assert key(first) == key(mixing.draw(documents(spark, rows).repartition(7, "text")))
+    from_sizes = mixing.draw(mixing.sizes(documents(spark, rows)))
+    total = lambda df: sorted(str(tuple(r)) for r in df.select("doc_id", "size", mixing.taken(df).alias("t")).collect())
+    assert total(first) == total(from_sizes)
+    small = mixing.draw(documents(spark, rows), mixing.Mixture(min_blocks=1, block_words=20))
+    assert sum(x[-1] for x in small.select(mixing.taken(small)).collect()) == sum(x[-1] for x in first.select(mixing.taken(first)).collect())
+
+
 # ---- 8
 
 
@@ -471,6 +539,41 @@ def test_secrets(spark):
     assert secret_scan.scan(documents(spark, [])).count() == 0 and secret_scan.redact(documents(spark, [])).count() == 0
 
 
+def plain_novel(text):
+    """Novel spans by their definition, one candidate and one neighbour at a time."""
+    import zstandard
+
+    p = secret_scan.Novelty()
+    words = [m.span() for m in secret_scan._SENSITIVE.finditer(text)]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)]
+    near = {r for r in runs if any(s - p.reach < r[1] and r[0] < e + p.reach for s, e in words)}
+    while more := {b for a, b in zip(runs, runs[1:], strict=False) if secret_scan._BETWEEN_LINES.fullmatch(text, a[1], b[0]) and a in near and b not in near} | {a for a, b in zip(runs, runs[1:], strict=False) if secret_scan._BETWEEN_LINES.fullmatch(text, a[1], b[0]) and b in near and a not in near}:
+        near |= more
+    base, out = secret_scan.Scanner().base_spans(text), []
+    for s, e in sorted(near):
+        if any(x < e and s < y for x, y, _ in base):
+            continue
+        size = lambda t: len(zstandard.ZstdCompressor(level=p.level, dict_data=zstandard.ZstdCompressionDict(secret_scan.DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.encode("utf-8", "replace")))
+        left, right = text[max(0, s - p.reach) : s], text[e : e + p.reach]
+        if (size(left + text[s:e] + right) - size(left + right)) / (e - s) >= p.min_bytes_per_char:
+            out.append((s, e, "novel"))
+    return out
+
+
+def test_novel_spans_against_their_definition(spark):
+    random.seed(12)
+    key = lambda n: "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    parts = ["secret ", "auth: ", "token=abcdef1 ", "the words of a text that say nothing ", "\n", "\n  ", "example_default_value ", "f" * 30 + " ", "AKIA" + "A1" * 8 + " "]
+    texts = ["".join(random.choice([*parts, key(random.choice([12, 20, 64])) + random.choice([" ", "\n", "\\n"])]) for _ in range(random.randint(1, 40))) for _ in range(150)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + ["token=abcdef1 " * 20_000 + key(40)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = {i: ",".join(f"novel:{s}:{e}" for s, e, _ in plain_novel(t)) for i, t in enumerate(texts[:-1])}
+    assert all(",".join(x for x in got[i].split(",") if x.startswith("novel")) == want[i] for i in want) and sum(map(bool, want.values())) > 50
+    assert got[len(texts) - 1].count("assign") == 20_000
+    without = secret_scan.redact(documents(spark, [(0, "password=abcdef1 x", "s")]).drop("n_chars")).collect()
+    assert without[0]["text"] == "[SECRET] x"
+
+
 def test_every_candidate_is_measured(spark):
     random.seed(9)
     lines = ["".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(20)]

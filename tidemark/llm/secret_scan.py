@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,8 +110,10 @@ class Scanner:
 
     def novel_spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         reach, spans = self.novelty.reach, []
+        starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
         for start, end in self.candidates(text):
-            if any(s < end and start < e for s, e, _ in base):
+            before = bisect_left(starts, end)
+            if before and furthest[before - 1] > start:  # it meets a base span
                 continue
             if self.cost(text[max(0, start - reach) : start], text[start:end], text[end : end + reach]) >= self.novelty.min_bytes_per_char:
                 spans.append((start, end, "novel"))
@@ -148,14 +152,15 @@ _NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "
 
 
 def redact(docs: DataFrame, novelty: Novelty = Novelty(), mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by mark, and n_chars counted anew where a text
+    """The documents with every span replaced by mark, and n_chars (if there) counted anew where a text
     changed; all rows and columns stay."""
+    counted = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(novelty)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            sizes = batch.column(batch.schema.get_field_index("n_chars")).to_pylist()
+            sizes = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if counted else [None] * batch.num_rows
             texts = []
             for i, t in enumerate(batch.column(at)):
                 text = t.as_py()
@@ -172,7 +177,8 @@ def redact(docs: DataFrame, novelty: Novelty = Novelty(), mark: str = "[SECRET]"
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            columns[batch.schema.get_field_index("n_chars")] = pa.array(sizes, pa.int64())
+            if counted:
+                columns[batch.schema.get_field_index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,13 +7,13 @@ them, and the exception phrases (an entry with its neighbours, as clean document
 whose matches don't count. The weights of the matches, by themselves and for the text's length, are
 turned into a score by a logistic curve fitted on the same documents.
 
-Learning reads a bounded sample of labelled documents (Learning.toxic_docs, clean_docs and
-max_chars are the bounds); scoring reads every whole text. Only the text of a document counts
-for its score.
+Learning reads a bounded sample of labelled documents (Learning.toxic_docs and clean_docs are the
+bounds; of a text over max_chars it reads stretches of `stretch` characters, evenly spaced over the whole);
+scoring reads every whole text. Only the text of a document counts for its score.
 
 Defined results: a null or empty text has no match and gets the score of no match; a
-document whose labels conflict is toxic to learning; documents without labels are only
-scored; without labels of both kinds the lexicon is empty and every score is the
+document whose labels conflict is toxic to learning, and of several texts of one doc_id it reads the
+least; documents without labels are only scored; without labels of both kinds the lexicon is empty and every score is the
 curve's value without matches; repeated rows are scored each.
 """
 
@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ class Learning:
     toxic_docs: int = 1500
     clean_docs: int = 4500
     max_chars: int = 8000
+    stretch: int = 200
     beginnings: tuple[int, int] = (4, 8)
     min_support: int = 5
     min_log_odds: float = 3.0
@@ -97,9 +100,12 @@ class Matcher:
             if (start and folded[start - 1].isalnum()) or (whole and end < len(folded) and folded[end].isalnum()):
                 continue
             (excepted if weight is None else found).append((start, end, weight))
+        excepted.sort(key=lambda x: x[0])
+        starts, furthest = [s for s, _, _ in excepted], list(accumulate((e for _, e, _ in excepted), max))
         best: dict[int, tuple[int, int, float]] = {}
         for m in found:  # entries that begin alike count once, with the largest weight
-            if not any(s <= m[0] and m[1] <= e for s, e, _ in excepted) and (m[0] not in best or best[m[0]][2] < m[2]):
+            within = bisect_right(starts, m[0])
+            if not (within and furthest[within - 1] >= m[1]) and (m[0] not in best or best[m[0]][2] < m[2]):
                 best[m[0]] = m
         return list(best.values())
 
@@ -199,9 +205,11 @@ def learn_from(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) ->
     order = F.xxhash64(F.lit(11), F.col("label_id"))
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     sample = known.filter("toxic = 1").orderBy(order, "label_id").limit(p.toxic_docs).union(known.filter("toxic = 0").orderBy(order, "label_id").limit(p.clean_docs))
-    texts = docs.filter(F.length("text") <= p.max_chars).select("doc_id", "text")
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")  # toxic_docs + clean_docs rows at most
-    found = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    pieces, n = p.max_chars // p.stretch, F.length("text")
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col("text"), F.floor(i * n / pieces).cast("int") + 1, F.lit(p.stretch)))
+    read = F.when(n <= p.max_chars, F.col("text")).otherwise(F.array_join(spaced, " "))
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", read.alias("text"), "toxic")
+    found = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect(), key=lambda r: r["doc_id"])  # toxic_docs + clean_docs rows at most
     return learn([r["text"] for r in found if r["toxic"] == 1], [r["text"] for r in found if r["toxic"] == 0], p)
 
 
