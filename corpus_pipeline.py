@@ -15,19 +15,27 @@ from tidemark.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: rows scored under the cut stay as they are; those predicted toxic go. Null and empty texts
+    score as no match and stay; repeated rows are judged alike; an empty table stays empty; other columns go."""
     return toxicity.reject(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of linked texts the row with the least doc_id stays, of rows alike one. Null and
+    empty texts and null doc_ids link with nothing and all stay; an empty table stays empty; other columns go."""
     return jaccard_join.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: all rows stay; every span of a text becomes [SECRET], and n_chars counts the new text. Null
+    and empty texts stay as they are; repeated rows are scanned each; an empty table stays empty; other columns go."""
     return secret_scan.redact(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shard by shard, each shard in a shuffled order."""
+    """Operator 7: documents as often as the mix takes them, shard by shard, each shard in a shuffled order; a row that the
+    mix takes in part ends after the words taken. Documents without words are taken never, so null and empty texts
+    go; null sources are one source; repeated rows are documents each; an empty table stays empty; other columns go."""
     shards = shuffle_partitions(spark)
     drawn = mixing.draw(docs.select(*DOCUMENT_COLUMNS), mixing.Mixture(shards=shards))
     mixed = mixing.mixed_documents(drawn, list(DOCUMENT_COLUMNS))
@@ -35,6 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: a row for each piece of each document, with its sequence and offset. Null and empty texts are the
+    end token alone; repeated rows (a document drawn again) are packed each; an empty table packs into nothing."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

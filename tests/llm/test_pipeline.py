@@ -8,9 +8,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import check_packing, library, linked
+from tests.llm.test_operators import EDGE, WORDS, documents, library, linked
 from tidemark.llm import packing, queries, toxicity
 from tidemark.llm.common import DOCUMENT_COLUMNS, cut, table
 
@@ -44,7 +45,6 @@ def test_stages(spark):
     tok = library("word_bpe_49k.json")
     for r in rows:
         assert r["start"] + r["length"] <= len(tok.encode(single[r["doc_id"]] or "", add_special_tokens=False).ids) + 1
-    assert check_packing is not None
 
 
 def test_packing_holds_the_mix(spark):
@@ -72,6 +72,39 @@ def test_packing_holds_the_mix(spark):
         assert end <= packing.CAPACITY
 
 
+HARD = [*EDGE, (None, None, None), (None, "", "a"), (7, "password=hunter22 and more words follow here", "a"), (7, "password=hunter22 and more words follow here", "a"), (8, "same id as", "a"), (8, "same id but another text", "a"), (9, "<|endoftext|> <p>", "b")]
+
+
+def plain(rows):
+    return Counter(tuple(r[c] for c in DOCUMENT_COLUMNS) for r in rows)
+
+
+def test_stages_on_hard_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, shared ids, clashing columns: each stage by itself."""
+    given = documents(spark, HARD, extra=True).withColumn("lang", F.when(F.col("doc_id") > 5, F.col("lang"))).withColumn("n_chars", F.when(F.col("doc_id") != 6, F.col("n_chars")))
+    rows, stages = given.collect(), dict(corpus_pipeline.STAGES)
+    assert plain(stages["toxicity"](spark, given, DATA).collect()) == plain(rows)  # no labels of theirs are toxic words
+    kept = stages["near_copies"](spark, given, DATA).collect()
+    linked_rows = [r for r in rows if r["doc_id"] is not None and WORDS.search(r["text"] or "")]
+    assert plain(kept) == plain([r for r in rows if r not in linked_rows] + list(dict.fromkeys(linked_rows)))
+    clean = stages["secrets"](spark, given, DATA).collect()
+    assert len(clean) == len(rows) and [(r["text"], r["n_chars"]) for r in clean if r["doc_id"] == 7] == [("[SECRET] and more words follow here", 35)] * 2
+    assert plain([r for r in clean if r["doc_id"] != 7]) == plain([r for r in rows if r["doc_id"] != 7])
+    mixed = stages["mixing"](spark, given, DATA).collect()
+    n = lambda t: len(WORDS.findall(t or ""))
+    assert abs(sum(n(r["text"]) for r in mixed) - sum(n(r["text"]) for r in rows)) <= 3 and all(n(r["text"]) for r in mixed)
+    assert {(r["doc_id"], r["source"]) for r in mixed} <= {(r["doc_id"], r["source"]) for r in rows}
+    packed, tok = stages["packing"](spark, given, DATA).collect(), library("word_bpe_49k.json")
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in rows)
+    assert sum(r["length"] for r in packed) == sum(len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows)
+
+
+def test_stages_on_an_empty_table(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, documents(spark, [], extra=True), DATA)
+        assert found.count() == 0 and (name == "packing" or tuple(found.columns) == DOCUMENT_COLUMNS)
+
+
 def test_run_is_the_stages(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
 

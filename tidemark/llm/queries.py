@@ -167,6 +167,48 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_OP3 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT rid, unnest(range(1, len(words) - 33)) AS pos, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i+34], ' ')))) AS k
+  FROM w WHERE len(words) >= 35
+), dup AS (
+  SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT rid, pos + j AS place FROM dup, (SELECT unnest(range(35)) AS j)
+), each AS (
+  SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY place) AS t, count(*) AS n FROM each ANTI JOIN gone USING (rid, place) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
+_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w
+), e AS (
+  SELECT rid, md5(unnest(shingles)) AS k FROM s
+), o AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND a.rid < b.rid GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM o JOIN s a ON a.rid = x JOIN s b ON b.rid = y WHERE 100 * n >= 80 * (len(a.shingles) + len(b.shingles) - n)
+), both_ AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT rid, rid AS other FROM s UNION SELECT reach.rid, y FROM reach JOIN both_ ON x = other
+)
+SELECT a.doc_id, CAST(len(a.shingles) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reach JOIN s a ON a.rid = reach.rid JOIN s b ON b.rid = other GROUP BY a.rid, a.doc_id, len(a.shingles)
+"""
+
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -206,6 +248,8 @@ FROM d JOIN n ON true JOIN last ON d.source IS NOT DISTINCT FROM last.source AND
 
 ORACLES = {
     "op1_quality_rules": _OP1,
+    "op3_substring_dedup": _OP3,
+    "op6_jaccard_join": _OP6,
     "op7_source_mixing": _OP7,
     "op8_topk_search": _OP8,
     "op9_chat_format": _OP9,
