@@ -191,6 +191,36 @@ def test_token_transducer_is_the_library():
         assert all(t.count(s, chunk) == want for chunk in (1 << 16, 1, 2, 5)), s
 
 
+def test_chunk_maps_serve_every_state():
+    """A chunk's map, made without what stands before it, gives the library's count behind any text; composition is associative."""
+    random.seed(22)
+    t, tok = token_counts.Transducer(queries.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    some = [x for x in PIECES if "<" not in x]
+    for _ in range(400):
+        before, chunk, after = ("".join(random.choices(some, k=random.randint(1, 6))) for _ in range(3))
+        s = before + chunk + after
+        a, b = len(before), len(before) + len(chunk)
+        maps = [t.chunk_map(s, 0, a), t.chunk_map(s, a, b), t.chunk_map(s, b, len(s))]
+        assert all(set(m.paths) == set(range(11)) for m in maps)
+        left, right = t.compose(s, t.compose(s, *maps[:2]), maps[2]), t.compose(s, maps[0], t.compose(s, *maps[1:]))
+        assert left == right
+        p = left.paths[token_counts.START]
+        assert t._sum(s, [0, *p.bounds]) + p.count + t._last(s[p.tail or 0 :], p.state) == len(tok.encode(s, add_special_tokens=False).ids)
+
+
+def test_texts_without_white_space():
+    random.seed(23)
+    t, tok = token_counts.Transducer(queries.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    for s in ("".join(random.choices("한국어中文。,1a'", k=30_000)), "".join(random.choices("ABCdef0123+/", k=30_000)), "x" * 20_000, "'" * 5000, " " * 5000, "1a" * 5000):
+        want = len(tok.encode(s, add_special_tokens=False).ids)
+        assert all(t.count(s, chunk) == want for chunk in (1 << 16, 1000, 77))
+    # ways through a chunk meet: walking it for all states costs little more than for one
+    steps, walk = [], t.walk
+    t.walk = lambda text, lo, hi, *a, **k: steps.append(r := walk(text, lo, hi, *a, **k)) or r
+    t.chunk_map("中文a1。" * 2000, 0, 10_000)
+    assert sum(r[1] for r in steps) < 10_500
+
+
 def test_token_counts_query(spark):
     tok = library("byte_bpe_50k.json")
     path = queries.tokenizer_path("byte_bpe_50k.json")

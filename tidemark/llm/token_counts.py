@@ -5,17 +5,17 @@ The tokenizer's splitting pattern
     's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 
 is compiled into a deterministic transducer over character classes: each transition either
-keeps the open piece or closes pieces; the number of tokens of a closed piece comes from the
-library (the vocabulary's merges never cross a piece). Runs of the transducer over the recurring symbols of
-a text (a word with the white space before it) are remembered with their counts, so a
-transition on a whole symbol is one lookup.
-
-A long text is cut into chunks at fixed places. Each chunk is turned, on its own, into a map
-that serves every state and open piece it may be entered with.
-Wherever white space follows another character every state meets in one, so a map is three
-parts: a head (run from the entry state), an inner count, and a tail (which gives the exit
-state); head and tail are kept as text. Maps compose associatively; pairs, then pairs of pairs
-are composed, one after the other within a row.
+keeps the open piece or closes pieces, and a closed piece emits its number of tokens. The vocabulary's
+merges never cross a piece; how many tokens a piece merges into is asked of the library's model once and
+remembered, as are whole symbols (a word with the white space before it), so that a transition on a symbol is
+one lookup.
+
+A long text is cut into chunks at fixed places. Each chunk is turned, on its own, into a map from every
+state that it may be entered in to what it does then: where the pieces that were open before end, how many tokens
+the pieces within it emit, where the piece that stays open begins, and the state it is left in. Ways through
+a chunk that come to one state at one place go on alike and are walked once, so a map needs no white space. Maps
+compose associatively: pairs, then pairs of pairs. Rows are spread over the tasks; the maps of one text
+are made and composed in the task of its row.
 
 Special strings are found first, as the library does, and count one token each.
 
@@ -31,6 +31,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +56,8 @@ KEEP, CLOSE, CLOSE_AFTER, LAST_JOINS, LAST_ALONE, QUOTE_ALONE = range(6)
 #: Classes: letter, number, space, other white space, other, apostrophe, and the letters that
 #: may follow an apostrophe.
 _CONTRACTION = "stmdrvle"
+#: Characters whose UTF-8 forms hold every byte that UTF-8 has.
+_EVERY_BYTE = [*map(chr, range(0x800)), *(chr(i << 12) for i in range(1, 16)), "\u0fff", "\U00010000", *(chr(i << 18) for i in range(1, 5))]
 
 
 def compile_pattern() -> dict[tuple[int, str], tuple[int, int]]:
@@ -78,27 +81,42 @@ def compile_pattern() -> dict[tuple[int, str], tuple[int, int]]:
     return delta | {(QUOTE, "r"): (KEEP, QUOTE_R), (QUOTE, "v"): (KEEP, QUOTE_V), (QUOTE, "l"): (KEEP, QUOTE_L)}
 
 
-@dataclass
+@dataclass(frozen=True)
+class Path:
+    """A way through a chunk, with places in the text: the bounds of pieces up to the first that lies in the chunk (those before
+    it end or cut the piece that was open), the tokens of the pieces from there to tail, the last bound (None:
+    no piece ends), and the state at the end."""
+
+    bounds: tuple[int, ...]
+    count: int
+    tail: int | None
+    state: int
+
+
+@dataclass(frozen=True)
 class ChunkMap:
-    """inner None: the states don't meet in this chunk, which is head alone."""
+    """Entry state to path, for the text from start to the next chunk."""
 
-    head: str
-    inner: int | None = None
-    tail: str = ""
+    start: int
+    paths: dict[int, Path]
 
 
 class Transducer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = re.compile("|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {b: shown for c in _EVERY_BYTE for b, shown in zip(c.encode(), as_bytes.pre_tokenize_str(c)[0][0], strict=True)}
+        self.merge = self.tokenizer.model.tokenize
         self.delta = compile_pattern()
         self.classes = {chr(i): self._class(chr(i)) for i in range(128)}
         self.symbol = Recent(self.run).__getitem__
+        self.emitted = Recent(self.tokens_of).__getitem__
 
     def _class(self, c: str) -> str:
         """The class of a character, as the library's own splitting shows it."""
@@ -110,83 +128,119 @@ class Transducer:
                 return name
         return "W"
 
-    def emitted(self, piece: str) -> int:
-        """The tokens of a closed piece."""
-        return len(self.tokenizer.encode(piece, add_special_tokens=False).ids) if piece else 0
+    def tokens_of(self, piece: str) -> int:
+        """The tokens that the merges leave of a closed piece."""
+        return len(self.merge(piece.encode().decode("latin-1").translate(self.shown))) if piece else 0
 
-    def run(self, text: str) -> int:
-        """The tokens of a text that begins and ends where the states meet, one character at a time."""
-        classes, delta, emitted = self.classes, self.delta, self.emitted
-        total, state, at = 0, START, 0
-        for i, c in enumerate(text):
-            kind = classes.get(c)
+    def walk(self, text: str, lo: int, hi: int, state: int, beside: list[int] | None = None, seen: list[int] | None = None) -> tuple[list[int], int, int]:
+        """The bounds of the pieces that the characters from lo to hi close, the place and the state reached. It stops where it
+        comes to the state that another way through, beside, has there. seen takes the states."""
+        classes, delta, bounds = self.classes, self.delta, []
+        for i in range(lo, hi):
+            kind = classes.get(text[i])
             if kind is None:
                 if len(classes) > 100_000:
                     classes = self.classes = {chr(k): self._class(chr(k)) for k in range(128)}
-                kind = classes[c] = self._class(c)
+                kind = classes[text[i]] = self._class(text[i])
             action, state = delta[state, kind]
-            if action == KEEP:
-                continue
-            if action == CLOSE:
-                total, at = total + emitted(text[at:i]), i
-            elif action == CLOSE_AFTER:
-                total, at = total + emitted(text[at : i + 1]), i + 1
-            elif action == LAST_JOINS:
-                total, at = total + emitted(text[at : i - 1]), i - 1
-            elif action == LAST_ALONE:
-                total, at = total + emitted(text[at : i - 1]) + emitted(text[i - 1 : i]), i
-            else:  # the apostrophe closes; its letter stays open if letters follow
-                total, at = total + emitted(text[at : at + 1]), at + 1
-                if kind != "L" and kind not in _CONTRACTION:
-                    total, at = total + emitted(text[at:i]), i
-        if state in (QUOTE_R, QUOTE_V, QUOTE_L):
-            return total + emitted(text[at : at + 1]) + emitted(text[at + 1 :])
-        return total + emitted(text[at:])
-
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        first = _MEET.search(chunk)
-        if not first:
-            return ChunkMap(chunk)
-        at = first.start()
-        symbols = _SYMBOL.findall(chunk, at)
-        tail = symbols.pop()
-        return ChunkMap(chunk[:at], sum(map(self.symbol, symbols)), tail)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+            if action != KEEP:
+                if action == CLOSE:
+                    bounds.append(i)
+                elif action == CLOSE_AFTER:
+                    bounds.append(i + 1)
+                elif action == LAST_JOINS:
+                    bounds.append(i - 1)
+                elif action == LAST_ALONE:
+                    bounds += (i - 1, i)
+                else:  # the apostrophe closes; its letter stays open if letters follow
+                    bounds.append(i - 1)
+                    if kind != "L" and kind not in _CONTRACTION:
+                        bounds.append(i)
+            if seen is not None:
+                seen.append(state)
+            if beside is not None and beside[i - lo] == state:
+                return bounds, i + 1, state
+        return bounds, hi, state
+
+    def _sum(self, text: str, bounds: list[int]) -> int:
+        """The tokens of the pieces between bounds."""
+        return sum(self.emitted(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))
+
+    def _last(self, text: str, state: int) -> int:
+        """The tokens of the open piece where the text ends."""
+        return self.emitted(text[:1]) + self.emitted(text[1:]) if state in (QUOTE_R, QUOTE_V, QUOTE_L) else self.emitted(text)
+
+    def run(self, text: str) -> int:
+        """The tokens of a text that begins and ends where the states meet, one character at a time."""
+        bounds, _, state = self.walk(text, 0, len(text), START)
+        bounds = [0, *bounds]
+        return self._sum(text, bounds) + self._last(text[bounds[-1] :], state)
+
+    def chunk_map(self, text: str, lo: int, hi: int) -> ChunkMap:
+        meet = _MEET.search(text, lo + 1, hi)
+        if meet:  # a piece ends there in every state; what follows is one for all
+            at = meet.start()
+            symbols = _SYMBOL.findall(text, at, hi)
+            begin = hi - len(symbols.pop())
+            bounds, _, state = self.walk(text, begin, hi, START)
+            after = sum(map(self.symbol, symbols)) + self._sum(text, [begin, *bounds])
+            tail, paths = bounds[-1] if bounds else begin, {}
+            for entry in range(QUOTE_L + 1):
+                own = [x for x in self.walk(text, lo, at + 1, entry)[0] if x < at] + [at]
+                paths[entry] = self._path(text, lo, own, after, tail, state)
+            return ChunkMap(lo, paths)
+        states: list[int] = []
+        bounds, _, state = self.walk(text, lo, hi, START, seen=states)
+        behind = [0, *accumulate(self.emitted(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))]
+        paths = {START: self._path(text, lo, bounds, 0, bounds[-1] if bounds else None, state)}
+        for entry in range(1, QUOTE_L + 1):
+            own, met, end = self.walk(text, lo, hi, entry, beside=states)
+            rest = bounds[len(self.walk(text, lo, met, START)[0]) :]  # from here on as from START
+            if rest:
+                paths[entry] = self._path(text, lo, [*own, rest[0]], behind[-1] - behind[-len(rest)], rest[-1], state)
+            else:
+                paths[entry] = self._path(text, lo, own, 0, own[-1] if own else None, state if met < hi else end)
+        return ChunkMap(lo, paths)
+
+    def _path(self, text: str, lo: int, bounds: list[int], after: int, tail: int | None, state: int) -> Path:
+        """The path with these first bounds; `after` tokens lie from the last of them to tail."""
+        inside = next((k for k, x in enumerate(bounds) if x >= lo), len(bounds))
+        return Path(tuple(bounds[: inside + 1]), self._sum(text, bounds[inside:]) + after, tail, state)
+
+    def compose(self, text: str, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of the chunk a followed by the chunk b."""
-        if a.inner is None and b.inner is None:
-            return self._joined(a.head + b.head, a.head)
-        if a.inner is None:
-            both = self._joined(a.head + b.head, a.head)
-            return ChunkMap(both.head, b.inner + (self.symbol(both.tail) + both.inner if both.inner is not None else 0), b.tail)
-        both = self._joined(a.tail + b.head, a.tail)
-        if b.inner is None:
-            return ChunkMap(a.head, a.inner, both.head) if both.inner is None else ChunkMap(a.head, a.inner + self.symbol(both.head) + both.inner, both.tail)
-        between = self.symbol(both.head) if both.inner is None else self.symbol(both.head) + both.inner + self.symbol(both.tail)
-        return ChunkMap(a.head, a.inner + between + b.inner, b.tail)
-
-    def _joined(self, text: str, left: str) -> ChunkMap:
-        """The map of text, whose states can meet only where left ends."""
-        at = len(left)
-        if 0 < at < len(text) and not _SPACE.match(text[at - 1]) and _SPACE.match(text[at]):
-            return ChunkMap(text[:at], 0, text[at:])
-        return ChunkMap(text)
-
-    def total(self, m: ChunkMap) -> int:
-        """The tokens of a whole text with this map: entered with nothing open."""
-        return self.symbol(m.head) + (0 if m.inner is None else m.inner + self.symbol(m.tail))
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+        paths = {}
+        for entry, p in a.paths.items():
+            q = b.paths[p.state]
+            bounds, count, last = list(p.bounds), p.count, p.tail
+            for x in q.bounds:
+                if last is None or last < a.start:
+                    bounds.append(x)
+                else:
+                    count += self.emitted(text[last:x])
+                last = x
+            paths[entry] = Path(tuple(bounds), count + q.count, q.tail if q.tail is not None else last, q.state)
+        return ChunkMap(a.start, paths)
+
+    def scan(self, text: str, maps: list[ChunkMap]) -> ChunkMap:
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [self.compose(text, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
+    def part(self, text: str, chunk: int) -> int:
+        """The tokens of a text without special strings."""
+        if len(text) <= chunk:
+            first = _MEET.search(text)
+            return self.symbol(text[: first.start()]) + sum(map(self.symbol, _SYMBOL.findall(text, first.start()))) if first else self.symbol(text)
+        whole = self.scan(text, [self.chunk_map(text, i, min(i + chunk, len(text))) for i in range(0, len(text), chunk)]).paths[START]
+        return self._sum(text, [0, *whole.bounds]) + whole.count + self._last(text[whole.tail or 0 :], whole.state)
+
     def count(self, text: str, chunk: int = CHUNK) -> int:
         total = 0
         parts = self.special.split(text) if self.special else [text]
         for part in parts:
             if part:
-                total += self.total(self.scan([self.chunk_map(part[i : i + chunk]) for i in range(0, len(part), chunk)]))
+                total += self.part(part, chunk)
         return total + len(parts) - 1
 
 
