@@ -188,34 +188,33 @@ def _place(token: Column) -> Column:
 
 
 def segments(ordered: DataFrame, p: Links) -> DataFrame:
-    """cls, fragment, hashes: each class's tokens, cut where the global order is cut; in buckets by class and fragment."""
+    """cls, parts: each class's tokens, cut where the global order is cut, as one list of hashes for each fragment; in
+    buckets by class."""
     places = ordered.select(F.explode(F.transform("tokens", _place)).alias("x"))
     cuts = places.agg(F.percentile_approx("x", [k / p.fragments for k in range(1, p.fragments)], 1000)).first()[0] or []
     bounds = np.array(sorted(set(cuts)), dtype=np.float64)
+    n = len(bounds) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, places, hashes = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            places, hashes = batch.column(1), batch.column(2)
             ends = places.offsets.to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            part = np.searchsorted(bounds, places.values.to_numpy()[ends[0] : ends[-1]])
-            order = np.lexsort((part, row))
-            key = row[order] * (len(bounds) + 1) + part[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(hashes.values.to_numpy()[ends[0] : ends[-1]][order]))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[row[order][first]]), pa.array(part[order][first].astype(np.int32)), lists], names=["cls", "fragment", "hashes"])
+            key = row * n + np.searchsorted(bounds, places.values.to_numpy()[ends[0] : ends[-1]])
+            order = np.argsort(key, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[order], np.arange(batch.num_rows * n + 1)).astype(np.int32)), pa.array(hashes.values.to_numpy()[ends[0] : ends[-1]][order]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), lists)], names=["cls", "parts"])
 
     rows = ordered.select("cls", F.transform("tokens", _place).alias("places"), F.transform("tokens", lambda t: t["hash"]).alias("hashes"))
-    return cut_in_buckets(rows.mapInArrow(run, "cls bigint, fragment int, hashes array<bigint>"), "cls", "fragment")
+    return cut_in_buckets(rows.mapInArrow(run, "cls bigint, parts array<array<bigint>>"), "cls")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, p: Links) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that link: overlaps of each fragment, summed per pair. Only the fragments of a move."""
-    of_a = parts.select(F.col("cls").alias("a"), "fragment", F.col("hashes").alias("x"))
-    of_b = parts.select(F.col("cls").alias("b"), "fragment", F.col("hashes").alias("y"))
-    in_parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(p.fragments - 1))))
-    partial = in_parts.join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("o"))
-    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o"))
+    """The pairs (a, b, n_a, n_b) that link: overlaps of each fragment, summed per pair. Only the lists of a move."""
+    of_a = parts.select(F.col("cls").alias("a"), F.col("parts").alias("x"))
+    of_b = parts.select(F.col("cls").alias("b"), F.col("parts").alias("y"))
+    partial = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y))).alias("overlaps"))
+    summed = partial.select("a", "b", "n_a", "n_b", F.aggregate("overlaps", F.lit(0), lambda o, k: o + k).alias("o"))
     return summed.filter(100 * F.col("o") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
