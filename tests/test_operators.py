@@ -300,3 +300,13 @@ def test_itemset_plan_backtest_and_combination(spark):
     assert {r["topic"] for r in told} == {"T", "U"} and {r["prediction_error"] for r in told} == {0.0, -1.0}
     assert both["overlap"].first()["total_unique_keywords"] == both["keyword_sets"].count() and both["comparison"].count() == 5
     assert reports.nested_interpretation(both["interpretation"]).count() == 2
+
+
+def test_combined_numbers_the_residual_ranking(spark):
+    """Without trend scores the itemsets are numbered by their residuals, beside the topics of the same rank."""
+    predictions = spark.createDataFrame([("x", 2.0, 1.0), ("y", 1.0, 1.0)], "topic string, prediction double, ground_truth double")
+    names = "influence_score raw_strength topic_specificity continuity trend_ratio".split()
+    scores = spark.createDataFrame([(t, "k" + t, 1.0, 1.0, 1.0, 1.0, 1.0, 3, 2) for t in "xy"], "topic string, keyword string, " + ", ".join(f"{c} double" for c in names) + ", topic_window_papers long, topic_target_papers long")
+    ranking = spark.createDataFrame([(["c", "d"], 2, 0.1), (["a", "b"], 2, 0.5)], "items array<string>, size int, predicted_residual double")
+    got = run.combined(predictions, scores, ranking)["comparison"].orderBy("rank").collect()
+    assert [(r["rank"], r["topic"], r["itemset"]) for r in got] == [(1, "x", "a + b"), (2, "y", "c + d")]

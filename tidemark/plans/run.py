@@ -10,7 +10,7 @@ import dataclasses
 import typing
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import TREND_MODELS, ForecastConfig, ItemsetConfig, KeywordConfig, TaggerConfig
@@ -26,7 +26,7 @@ def tag(papers: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> dict
     """papers_with_topics, topic_nodes, topic_paper_incidence, paper_hyperedges and metadata."""
     sources.require_columns(papers, ("paper_id", "title"))
     taxonomy = rules.default_taxonomy() if taxonomy is None else taxonomy
-    tagged = tagging.tag_papers(papers, taxonomy)
+    tagged = cut(tagging.tag_papers(papers, taxonomy))  # read by each result, matched once
     links = tagging.incidence(tagged)
     return {
         "papers_with_topics": tagged,
@@ -41,10 +41,10 @@ def extract_keywords(papers: DataFrame, p: KeywordConfig) -> dict[str, DataFrame
     """papers_with_keywords, keyword_topic_scores, top_keywords_per_topic, topic_keyword_summary."""
     if p.warns:
         warnings.warn("target_year is not the year after the window", stacklevel=2)
-    loaded = sources.load_for_keywords(papers)
+    loaded = cut(sources.load_for_keywords(papers))  # written once: its row_ids are joined by
     weights = keywords.tfidf(loaded, p.min_df, p.max_features, p.ngrams)
     words = cut(keywords.top_keywords(weights, p.top_keywords_per_paper, drop_empty=p.drop_empty_keywords))  # read by each result
-    scores = keywords.influence(loaded, words, p)
+    scores = cut(keywords.influence(loaded, words, p))
     with_words = loaded.drop("extracted_keywords", "extracted_keyword_scores").join(keywords.keyword_columns(words), "row_id", "left").withColumn("extracted_keywords", F.coalesce("extracted_keywords", F.array().cast("array<string>")))
     return {
         "papers_with_keywords": with_words,
@@ -56,7 +56,7 @@ def extract_keywords(papers: DataFrame, p: KeywordConfig) -> dict[str, DataFrame
 
 def mine_itemsets(papers: DataFrame, p: ItemsetConfig) -> dict[str, typing.Any]:
     """metrics, series, residuals, ranking, and the method that ranked."""
-    loaded = sources.load_for_itemsets(papers, p.min_year, p.max_year)
+    loaded = cut(sources.load_for_itemsets(papers, p.min_year, p.max_year))  # written once: its row_ids are joined by
     tx = cut(itemsets.transactions(loaded, itemsets.df_band(loaded, p.df_min_count, p.df_max_frac)))  # read by each count
     found = cut(itemsets.yearly_metrics(tx, p))
     z = trends.series(found, tx)
@@ -97,7 +97,8 @@ def combined(predictions: DataFrame, scores: DataFrame, ranking: DataFrame, top:
     told = reports.interpret(predictions, scores, top, top)
     topics = told.select("rank", "topic", "prediction").distinct()
     score = "trend_score" if "trend_score" in ranking.columns else "predicted_residual"
-    numbered = ranking if "rank" in ranking.columns else ranking.withColumn("rank", F.lit(0))
+    by_residual = Window.orderBy(F.desc(F.round("predicted_residual", 9)), "size", "items")  # a report's rows
+    numbered = ranking if "rank" in ranking.columns else ranking.withColumn("rank", F.row_number().over(by_residual))
     sets = reports.keyword_sets(told, ranking.select(F.explode("items").alias("keyword")))
     return {"interpretation": told, "comparison": reports.compare_methods(topics, numbered.withColumn("score", F.col(score))), "keyword_sets": sets, "overlap": reports.overlap_counts(sets)}
 
@@ -147,7 +148,7 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in found.items():
             writers.write_csv(df, f"{p.outdir}/{name}.csv")
         writers.write_json_lines(found["paper_hyperedges"], f"{p.outdir}/hyperedges.json")
-        nodes = writers.records(found["topic_nodes"].orderBy("topic_name"), 100_000)  # a row for each topic
+        nodes = writers.records(found["topic_nodes"].orderBy("topic_name"))  # a row for each topic of the taxonomy
         writers.write_json(spark, f"{p.outdir}/hypergraph.json", {"nodes": nodes, "hyperedges": "hyperedges.json", "metadata": facts}, ascii_only=False)
         writers.write_text(spark, f"{p.outdir}/summary.txt", writers.summary("Topic hypergraph", facts, writers.records(found["topic_nodes"], p.top), ("topic_name", "paper_count")))
     elif plan == "keywords":
@@ -165,7 +166,8 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_json(spark, f"{p.outdir}/itemsets_predictions.json", {"metadata": facts, "itemsets": rows})
         writers.write_text(spark, f"{p.outdir}/itemsets_summary.txt", writers.summary("Itemsets", facts, rows, ("items", "trend_score" if found["method"] == "trend" else "predicted_residual")))
     else:
-        found = forecast_topics(papers, p)
+        last = sources.load_for_forecast(papers).agg(F.max("year")).first()[0]
+        found = forecast_topics(papers, p, future=last is not None and p.predict_year > last)  # a year without data has no truth
         facts = {r["metric"]: r["value"] for r in found["evaluation"].collect()}  # three rows
         writers.write_csv(found["predictions"], f"{p.outdir}/predictions_for_target_year.csv")
         writers.write_csv(spark.createDataFrame(found["model"].history, "train_loss double, val_loss double"), f"{p.outdir}/training_history.csv")

@@ -42,9 +42,9 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def records(df: DataFrame, limit: int) -> list[dict[str, Any]]:
-    """At most `limit` rows as plain values."""
-    return [json.loads(x) for x in df.limit(limit).select(F.to_json(F.struct("*")).alias("j")).toPandas()["j"]]
+def records(df: DataFrame, limit: int | None = None) -> list[dict[str, Any]]:
+    """At most `limit` rows as plain values; all rows of a table that is known to be small."""
+    return [json.loads(x) for x in (df if limit is None else df.limit(limit)).select(F.to_json(F.struct("*")).alias("j")).toPandas()["j"]]
 
 
 def write_json(spark: SparkSession, path: str, document: Any, ascii_only: bool = True) -> None:

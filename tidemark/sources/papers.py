@@ -53,7 +53,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A key for each row, stable for a stored input: papers are not unique by paper_id."""
+    """A key for each row: papers are not unique by paper_id. It depends on how the files are split, so the plans write the
+    numbered table once before they join by it."""
     return df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
 
 
