@@ -1,9 +1,12 @@
 """Files: CSV with quotes and null tokens, sinks, the command line, and streams against batches."""
 
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import reports
 from tidemark.plans import run
 from tidemark.sinks import writers
 from tidemark.sources import papers as S
@@ -59,6 +62,10 @@ def test_command_line(spark, csv_path, tmp_path):
     assert json.loads(writers.read_text(spark, f"{out}/hypergraph.json"))["metadata"]["num_papers"] == 4
     run.main(["itemsets", "--input", csv_path, "--outdir", out, "--df-min-count", "1", "--df-max-frac", "1", "--min-lift", "0.5", "--min-count", "1"])
     assert json.loads(writers.read_text(spark, f"{out}/itemsets_predictions.json"))["metadata"]["method"] in ("trend", "residual")
+    document = json.loads(writers.read_text(spark, f"{out}/itemsets_predictions.json"))
+    assert document["metadata"]["total_itemsets"] == document["metadata"]["num_pairs"] + document["metadata"]["num_triples"] > 0
+    assert [x["rank"] for x in document["top_trending_itemsets"]] == list(range(1, len(document["itemsets"]) + 1))
+    assert all(x["itemset"]["size"] == len(x["itemset"]["keywords"]) for x in document["top_trending_itemsets"])
     run.main(["keywords", "--input", csv_path, "--outdir", out, "--window-start", "2015", "--window-end", "2015", "--target-year", "2016", "--min-df", "1", "--ngrams", "1,2"])
     assert json.loads(writers.read_text(spark, f"{out}/run_config.json"))["target_year"] == 2016
 
@@ -82,3 +89,35 @@ def test_stream_is_the_batch(spark, tmp_path):
     got = counts.run_available(stream, "event_counts", str(tmp_path / "cp"))
     key = lambda df: sorted((str(r["start"]), r["topic"], r["count"], round(r["total"], 6)) for r in df.collect())
     assert key(got) == key(counts.windowed_counts(events))
+
+
+def test_stream_without_news_gives_the_former_table(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "events"))
+    run_once = lambda: counts.run_available(counts.windowed_counts(counts.read_events(spark, str(tmp_path / "events"))), "c", str(tmp_path / "cp"))
+    first = sorted(map(str, run_once().collect()))
+    assert first and sorted(map(str, run_once().collect())) == first
+
+
+def test_appended_windows_are_the_closed_ones_of_the_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    days = [r[0] for r in events.select(F.date_trunc("day", "ts")).distinct().orderBy(F.date_trunc("day", "ts")).collect()]
+    folder, seen = tmp_path / "events", set()
+    for k, day in enumerate(days):  # a file a day, in order of time
+        events.filter(F.date_trunc("day", "ts") == F.lit(day)).coalesce(1).write.mode("append").parquet(str(folder))
+        new = set(folder.glob("part-*")) - seen
+        seen |= new
+        for f in new:
+            os.utime(f, (10**9 + k, 10**9 + k))
+    stream = counts.windowed_counts(counts.read_events(spark, str(folder)))
+    got = counts.append_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    closed = counts.windowed_counts(events).filter(F.col("start") + F.expr("INTERVAL 1 DAY") <= F.lit(events.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 HOUR"))
+    key = lambda df: sorted((str(r["start"]), r["topic"], r["count"], round(r["total"], 6)) for r in df.collect())
+    assert key(got) and key(got) == key(closed)
+
+
+def test_itemset_entries_by_method():
+    trend = [{"rank": 7, "items": ["a", "b"], "size": 2, "trend_score": 0.12345678, "exp_k": 0.0, "logistic_k": 0.0, "linear_slope": 0.2469, "model_fit": "none", "linear_r2": 1.0}]
+    assert reports.itemset_entries(trend, "trend") == [{"rank": 1, "itemset": {"keywords": ["a", "b"], "size": 2}, "trend_score": 0.123457, "exp_growth_rate_k": 0.0, "logistic_growth_rate_k": 0.0, "linear_slope": 0.2469, "best_fit_model": "none"}]
+    assert reports.itemset_entries([{"items": ["c", "d", "e"], "size": 3, "predicted_residual": 0.5}], "residual") == [{"rank": 1, "itemset": {"keywords": ["c", "d", "e"], "size": 3}, "predicted_residual": 0.5}]
+    assert reports.itemset_entries([], "trend") == []

@@ -43,6 +43,18 @@ def compare_methods(topics: DataFrame, itemsets: DataFrame) -> DataFrame:
     return topics.select("rank", "topic", "prediction").join(itemsets.select("rank", F.array_join("items", " + ").alias("itemset"), "score"), "rank", "full_outer")
 
 
+# Names in the itemset document, by column of a ranking.
+TREND_NAMES = {"trend_score": "trend_score", "exp_k": "exp_growth_rate_k", "logistic_k": "logistic_growth_rate_k", "linear_slope": "linear_slope", "model_fit": "best_fit_model"}
+RESIDUAL_NAMES = {"predicted_residual": "predicted_residual"}
+
+
+def itemset_entries(rows: list[dict], method: str) -> list[dict]:
+    """The document's entries of a ranking by "trend" or "residual", in its order; numbers to six digits."""
+    names = TREND_NAMES if method == "trend" else RESIDUAL_NAMES
+    told = lambda v: round(v, 6) if isinstance(v, float) else v
+    return [{"rank": i, "itemset": {"keywords": r["items"], "size": r["size"]}} | {name: told(r[c]) for c, name in names.items()} for i, r in enumerate(rows, 1)]
+
+
 def mismatches(papers: DataFrame, keywords: DataFrame, indicators: dict[str, list[str]] | None = None) -> DataFrame:
     """row_id, suggested_addition, matching_keywords: keywords that point to a topic which the paper lacks."""
     pairs = [(k, t) for t, ks in (rules.INDICATORS if indicators is None else indicators).items() for k in ks]

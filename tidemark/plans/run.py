@@ -161,9 +161,10 @@ def main(argv: list[str] | None = None) -> None:
     elif plan == "itemsets":
         found = mine_itemsets(papers, p)
         rows = writers.records(found["ranking"], p.top_m)
-        facts = {"method": found["method"], "forecast_year": p.forecast_year, "baseline": p.baseline, "min_lift": p.min_lift}
+        sizes = {r["size"]: r["count"] for r in found["metrics"].select("items", "size").distinct().groupBy("size").count().collect()}  # two rows
+        facts = {"method": found["method"], "forecast_year": p.forecast_year, "baseline": p.baseline, "min_lift": p.min_lift, "num_pairs": sizes.get(2, 0), "num_triples": sizes.get(3, 0), "total_itemsets": sum(sizes.values())}
         writers.write_parquet(found["residuals"], f"{p.outdir}/residuals.parquet")
-        writers.write_json(spark, f"{p.outdir}/itemsets_predictions.json", {"metadata": facts, "itemsets": rows})
+        writers.write_json(spark, f"{p.outdir}/itemsets_predictions.json", {"metadata": facts, "itemsets": rows, "top_trending_itemsets": reports.itemset_entries(rows, found["method"])})
         writers.write_text(spark, f"{p.outdir}/itemsets_summary.txt", writers.summary("Itemsets", facts, rows, ("items", "trend_score" if found["method"] == "trend" else "predicted_residual")))
     else:
         last = sources.load_for_forecast(papers).agg(F.max("year")).first()[0]

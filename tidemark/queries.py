@@ -752,6 +752,13 @@ def event_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.windowed_counts(_read(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
 
 
+@query("""WITH t AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS d, event_type FROM events)
+SELECT x.d AS start, x.event_type AS a, y.event_type AS b, count(*) AS count FROM t x JOIN t y ON x.user_id = y.user_id AND x.d = y.d AND x.event_type < y.event_type GROUP BY 1, 2, 3""")
+def event_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _read(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("ts")).agg(F.sort_array(F.collect_set("event_type")).alias("items"))
+    return streaming.windowed_pairs(days)
+
+
 @query("""WITH t AS (SELECT DISTINCT user_id, CAST(extract(day FROM ts) AS INTEGER) AS yr, event_type FROM events)
 SELECT x.yr, x.event_type AS a, y.event_type AS b, count(*) AS cnt FROM t x JOIN t y ON x.user_id = y.user_id AND x.yr = y.yr AND x.event_type < y.event_type GROUP BY 1, 2, 3""")
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,16 @@ def windowed_pairs(transactions: DataFrame, window: str = "1 day", late: str = "
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """What a stream has to give now, as a table: all that is there is read, then the query ends."""
-    q = df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """All counts of what a stream has to give now, late rows included: each batch writes the table anew next to the
+    checkpoint, so a run without new data gives the former one. The state of every window is kept, on the executors."""
+    path = f"{checkpoint.rstrip('/')}-tables/{name}"
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_available(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Counts of the windows that the watermark has closed, appended to parquet once each. State is bounded by the
+    windows still open, whose counts come with a later run; rows later than the watermark are left out."""
+    df.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
