@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, components, fingerprints, jaccard_join, mixing, packing, quality_rules, queries, secret_scan, substring_dedup, token_counts, topk_search, toxicity
+from tidemark.llm.common import BATCH_BYTES, small_batches
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -393,6 +394,27 @@ def test_results_do_not_depend_on_the_batch_size(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_results_do_not_depend_on_the_bytes_of_a_batch(spark):
+    """A batch of a row or a few, and groups that arrive in many batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    random.seed(5)
+    base = [" ".join(random.choices("abcdefgh", k=60)) for _ in range(4)]
+    rows = [(k + 10, f"{base[k % 4]} {k % 3}", "s") for k in range(24)] + EDGE[:4]
+    spark.conf.set(key, "300b")
+    try:
+        got = jaccard_join.join(documents(spark, rows)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked(rows) and len(got) == len(rows)
+        got = substring_dedup.dedup(documents(spark, rows), window=6, anchor=3, batches=2).collect()
+        assert removed(rows, 6) == Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got)
+        assert spark.conf.get(key) == "300b"
+    finally:
+        spark.conf.set(key, before)
+    with small_batches(spark):
+        assert int(spark.conf.get(key).rstrip("b")) == BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
 def test_jaccard_join_edges(spark):
     got = jaccard_join.join(documents(spark, EDGE, extra=True)).collect()
     assert len(got) == len(EDGE) and {r["component_id"] for r in got if r["doc_id"] is None} == {None}

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, new_path, shared_dir  # noqa: F401
+from .. import storage
+from ..storage import new_path, shared_dir  # noqa: F401
 
 #: One word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: The same characters as text, for str.split-free counting with translate().
 GAP_CHARS = " \t\n\x0b\x0c\r"
+#: Bytes of rows that go to a Python worker at a time, a row at least; results don't depend on it.
+BATCH_BYTES = 8 << 20
 #: Columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,11 +32,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run within send BATCH_BYTES to Python workers at most, or what the session allows if less: a batch is
+    held by the JVM outside its heap and by the worker, in each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    allowed = int(before.rstrip("b")) if before.rstrip("b").lstrip("-").isdigit() else -1
+    if 0 < allowed <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(key, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """storage.cut in small batches."""
+    with small_batches(df.sparkSession):
+        return storage.cut(df)
+
+
 def cut_in_buckets(df: DataFrame, *keys: str) -> DataFrame:
     """cut(), dealt by the keys into buckets: joins on these keys then move the other side only."""
     spark = df.sparkSession
     n, name = shuffle_partitions(spark), f"tidemark_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", new_path(spark)).saveAsTable(name)
+    with small_batches(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", new_path(spark)).saveAsTable(name)
     written = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where they are, and the plan knows them
     return written
