@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences: STAGES in order, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. run() writes each stage's result in the shared folder and rereads it.
+columns of documents. run() writes each stage's result in the shared folder and rereads it. Stages that send
+whole texts to Python last write their result themselves, in small batches, whoever reads it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tidemark.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: rows scored under the cut stay as they are; those predicted toxic go. Null and empty texts
     score as no match and stay; repeated rows are judged alike; an empty table stays empty; other columns go."""
-    return toxicity.reject(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
+    return cut(toxicity.reject(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: all rows stay; every span of a text becomes [SECRET], and n_chars counts the new text. Null
     and empty texts stay as they are; repeated rows are scanned each; an empty table stays empty; other columns go."""
-    return secret_scan.redact(docs.select(*DOCUMENT_COLUMNS))
+    return cut(secret_scan.redact(docs.select(*DOCUMENT_COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +57,16 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
+#: Stages whose result is a written table already.
+WRITTEN = {"toxicity", "secrets"}
+
 #: The lexicon of the first stage is learnt, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if name in WRITTEN else cut(docs)
     return docs

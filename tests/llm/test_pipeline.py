@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_operators import EDGE, WORDS, documents, library, linked
 from tidemark.llm import packing, queries, toxicity
-from tidemark.llm.common import DOCUMENT_COLUMNS, cut, table
+from tidemark.llm.common import DOCUMENT_COLUMNS, cut, lean, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -120,3 +120,25 @@ def test_oracle(spark, name):
     names = [d[0] for d in rows.description]
     assert sorted(names) == sorted(ours.columns)
     assert Counter(tuple(r[n] for n in names) for r in ours.collect()) == Counter(rows.fetchall())
+
+
+@pytest.mark.parametrize("name", ["toxicity", "secrets"])
+def test_text_stages_write_in_small_batches(spark, name):
+    """Whoever writes the result of a stage that sends whole texts to Python, the texts went there in small batches."""
+    done = dict(corpus_pipeline.STAGES)[name](spark, table(spark, DATA, "documents"), DATA)
+    assert "MapInArrow" not in done._jdf.queryExecution().executedPlan().toString() and name in corpus_pipeline.WRITTEN
+
+
+def test_workers_give_memory_back():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    def batches():
+        held = [np.ones(12_000) for _ in range(2000)]  # 192 MB in blocks that the allocator keeps under the last one
+        yield held[-1:]
+        last = held[-1]
+        del held
+        yield last
+
+    sizes = [resident() for _ in lean(batches())]
+    assert resident() < sizes[0] - 100e6

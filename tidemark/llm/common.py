@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,6 +50,20 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def lean(batches: Iterator) -> Iterator:
+    """The batches; after each, a Python worker gives back the memory that it has freed, which Arrow's pool and the
+    allocator would keep for a worker that outlives its tasks."""
+    import pyarrow as pa
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """storage.cut in small batches."""
     with small_batches(df.sparkSession):

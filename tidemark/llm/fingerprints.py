@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .common import lean
+
 _MASK = (1 << 64) - 1
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so invertible
 _GAPS = np.zeros(256, dtype=bool)
@@ -182,7 +184,7 @@ def signatures(hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np
 
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of some batches in batches of about `size` bytes of text and ROWS rows at most; a longer text stands alone."""
-    for batch in batches:
+    for batch in lean(batches):
         if not batch.num_rows:
             continue
         ends = np.cumsum(_lengths(batch.column(batch.schema.get_field_index(column))))
@@ -192,6 +194,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 <<
             hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch  # else it is held when lean() gives back
 
 
 def _lengths(texts: pa.Array) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_in_buckets, shuffle_partitions
+from .common import cut, cut_in_buckets, lean, shuffle_partitions
 from .components import components
 from .fingerprints import deal, shingle_sets, signatures, sub_batches
 
@@ -196,7 +196,7 @@ def segments(ordered: DataFrame, p: Links) -> DataFrame:
     n = len(bounds) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             places, hashes = batch.column(1), batch.column(2)
             ends = places.offsets.to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
@@ -266,7 +266,7 @@ def sketches(ordered: DataFrame) -> DataFrame:
     bits in which two sketches differ is at most that of the tokens which one of the sets has alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             bits = []
             for n, hashes in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 size = max(64, 1 << (4 * n - 1).bit_length())
@@ -329,7 +329,7 @@ def residual(rooted: DataFrame, ordered: DataFrame, p: Links) -> DataFrame:
     met = left.join(right, ["token", "x", "y"]).select("l", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for k in range(batch.num_rows):
                 sides = [c[k].values for c in batch.columns if c[k].is_valid]
                 rows = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in sides])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .fingerprints import hash_words, sub_batches
 
 CAPACITY = 4096
@@ -327,7 +327,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.value
-        for batch in batches:
+        for batch in lean(batches):
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             run = rows[np.searchsorted(rows[:, 0], length * _RANKS + rank, side="right") - 1]
             nth = length * _RANKS + rank - run[:, 0]

@@ -27,6 +27,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .fingerprints import sub_batches
+
 KINDS = ("assign", "access", "hex", "novel")
 # Fixed patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -133,7 +135,7 @@ def scan(docs: DataFrame, novelty: Novelty = Novelty()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(novelty)
-        for batch in batches:
+        for batch in sub_batches(batches, "text"):
             counts, digests, joined = [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
@@ -158,7 +160,7 @@ def redact(docs: DataFrame, novelty: Novelty = Novelty(), mark: str = "[SECRET]"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(novelty)
-        for batch in batches:
+        for batch in sub_batches(batches, "text"):
             at = batch.schema.get_field_index("text")
             sizes = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if counted else [None] * batch.num_rows
             texts = []

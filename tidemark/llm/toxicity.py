@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fingerprints import sub_batches
+
 # Signs to the letters that they stand for or look like.
 _FOLDS = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i",
@@ -222,7 +224,7 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Learning = Learning(), score_nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
-        for batch in batches:
+        for batch in sub_batches(batches, columns[at]):
             scores = [matcher.score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, score_name])
 
