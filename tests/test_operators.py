@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,29 @@ def test_tfidf_by_hand(spark):
     assert got[1, "graph"] == pytest.approx(a / math.hypot(a, b)) and got[1, "cut"] == pytest.approx(b / math.hypot(a, b)) and (3, "graph") not in got
 
 
+@pytest.mark.parametrize(("sizes", "min_df", "most"), [((1, 2, 3), 2, 12), ((2, 3), 2, 9), ((1, 2), 1, 10_000)])
+def test_ngram_vocabulary(spark, sizes, min_df, most):
+    """The vocabulary of n-grams and its counts against plain Python, with ties at the cut, empty and null texts and a
+    word that only one document repeats; and only n-grams that can be in it are counted one by one."""
+    random.seed(5)
+    texts = [" ".join(random.choices(["graph", "cut", "flow", "tree", "node"], [8, 5, 3, 2, 1], k=random.randint(0, 14))) for _ in range(40)]
+    texts += ["odd " * 50, None, ""]
+    tf = Counter()
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        tf.update((i, " ".join(w[k : k + n])) for n in range(min(sizes), max(sizes) + 1) for k in range(len(w) - n + 1))
+    df, total = Counter(t for _, t in tf), Counter()
+    for (_, t), n in tf.items():
+        total[t] += n
+    vocabulary = set(sorted((t for t in df if df[t] >= min_df), key=lambda t: (-total[t], t))[:most])
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id long, doc_text string")
+    got = keywords.tfidf(docs, min_df, most, sizes, ()).collect()
+    assert {(r["row_id"], r["term"]): r["tf"] for r in got} == {k: n for k, n in tf.items() if k[1] in vocabulary}
+    words = docs.select("row_id", F.split("doc_text", " ").alias("words"))
+    keys, n = keywords.frequent_keys(words.select("row_id", "words", F.posexplode("words").alias("i", "w")), min_df, most, sizes)
+    assert n == keys.distinct().count() and (len(vocabulary) <= n < len(df) / 2 or most > len(df))
+
+
 def test_influence_z_scores(spark):
     papers = spark.createDataFrame([(i, 2000 + i % 3, float(i), ["t", "u"] if i % 2 else ["t"]) for i in range(12)], "row_id long, year int, citation_count double, topics array<string>")
     words = spark.createDataFrame([(i, k, f"w{(i + k) % 4}", 0.5 / k) for i in range(12) for k in (1, 2)], "row_id long, rank int, keyword string, score double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import KeywordConfig
 from ..functions import text as X
+from ..storage import cut, cut_in_buckets
 
 
 #: A vocabulary up to this size is sent to all executors.
@@ -30,15 +31,85 @@ def vocabulary(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
     return kept.orderBy(F.desc("total"), "term").limit(max_features)
 
 
+def _key(n: int, skip: int = 0) -> Column:
+    """The 64-bit hash of the n words of an array `words` that begin `skip` words after place i."""
+    return F.xxhash64(F.lit(n), *[F.get("words", F.col("i") + k) for k in range(skip, skip + n)])
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SMALL_VOCABULARY else df
+
+
+def frequent_keys(starts: DataFrame, min_df: int, max_features: int, ngrams: Sequence[int]) -> tuple[DataFrame, int]:
+    """key (hashes) of all n-grams that can be among the max_features most frequent of those in min_df documents or
+    more, and their number. starts: row_id, words and a row for each place i.
+
+    An n-gram is no more frequent than the shorter ones that it begins and ends with, so sizes are counted one
+    after the other, and only n-grams of two kept parts. `least` never exceeds the total of the last term of the
+    vocabulary: it is the max_features-th of the totals counted so far, of terms whose documents fall on min_df
+    of 64 marks, and so are as many."""
+    mark = F.expr("shiftleft(1L, CAST(pmod(xxhash64(7, row_id), 64) AS INT))").alias("mark")
+    least, before, counted = max(1, min_df), None, []
+    for n in range(1, max(ngrams) + 1):
+        found = starts.filter(F.col("i") + n <= F.size("words"))
+        if before is None:
+            found = found.select(_key(1).alias("key"), mark)
+        else:
+            found = found.select(_key(n - 1).alias("head"), _key(n - 1, 1).alias("tail"), _key(n).alias("key"), mark)
+            size = before.count()
+            found = found.join(_few(before.select(F.col("key").alias("head")), size), "head").join(_few(before.select(F.col("key").alias("tail")), size), "tail")
+        totals = cut(found.groupBy("key").agg(F.count("*").alias("total"), F.bit_or("mark").alias("marks")).filter(F.col("total") >= least))
+        if n >= min(ngrams):
+            counted.append(totals)
+            sure = [t.filter(F.bit_count("marks") >= min_df).select("total") for t in counted]
+            every = sure[0]
+            for t in sure[1:]:
+                every = every.union(t)
+            top = every.orderBy(F.desc("total")).limit(max_features).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+            least = max(least, top["least"]) if top["n"] == max_features and top["n"] else least
+        before = totals.filter(F.col("total") >= least)
+    keys = counted[0]
+    for t in counted[1:]:
+        keys = keys.union(t)
+    keys = keys.filter(F.col("total") >= least).select("key")
+    return keys, keys.count()
+
+
+def ngram_counts(docs: DataFrame, min_df: int, max_features: int, ngrams: Sequence[int], stop: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The counts row_id, key, tf, and the vocabulary key, term, df, total, where the sizes of n-grams are a range with
+    some over 1. Words are found once and written, dealt by row_id; n-grams are counted by 64-bit hashes, and only
+    those that can be in the vocabulary (frequent_keys). Two terms of one hash would count as one."""
+    words = cut_in_buckets(docs.select("row_id", X.tokens(F.col("doc_text"), stop).alias("words")), "row_id")
+    starts = words.select("row_id", "words", F.posexplode("words").alias("i", "w")).drop("w")
+    sizes = range(min(ngrams), max(ngrams) + 1)
+    keys, size = frequent_keys(starts, min_df, max_features, ngrams)
+    here = [F.when(F.col("i") + n <= F.size("words"), _key(n)) for n in sizes]
+    counts = starts.select("row_id", F.explode(F.array(*here)).alias("key")).join(_few(keys, size), "key").groupBy("row_id", "key").agg(F.count("*").alias("tf"))
+    found = cut(counts.groupBy("key").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.min("row_id").alias("at")).filter(F.col("df") >= min_df))
+    # the words of each hash, from one document that holds it
+    spots = found.select("at", F.col("key").alias("spot"))
+    held = words.join(_few(spots.select("at").distinct(), size), F.col("row_id").eqNullSafe(F.col("at")), "left_semi")
+    named = held.select("row_id", "words", F.posexplode("words").alias("i", "w"))
+    spelt = [F.struct(key.alias("key"), F.array_join(F.slice("words", F.col("i") + 1, n), " ").alias("term")) for n, key in zip(sizes, here, strict=True)]
+    named = named.select("row_id", F.explode(F.array(*spelt)).alias("x")).select("row_id", "x.key", "x.term")
+    terms = named.join(_few(spots, size), F.col("row_id").eqNullSafe(F.col("at")) & (F.col("key") == F.col("spot"))).groupBy("key").agg(F.min("term").alias("term"))
+    return counts, cut(found.join(terms, "key").select("key", "term", "df", "total").orderBy(F.desc("total"), "term").limit(max_features))
+
+
 def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 20_000, ngrams: Sequence[int] = (1,), stop: Sequence[str] | None = None) -> DataFrame:
     """row_id, term, tf, weight: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1) over its Euclidean norm in the document;
     and of each term, found once in the vocabulary: valid, and keyword (its normal form)."""
-    counts = term_counts(docs, ngrams, stop)
+    if max(ngrams) > 1:
+        counts, known = ngram_counts(docs, min_df, max_features, ngrams, stop)
+    else:
+        counts = term_counts(docs, ngrams, stop)
+        known = vocabulary(counts, min_df, max_features).withColumn("key", F.col("term"))
+        counts = counts.withColumnRenamed("term", "key")
     n = docs.agg(F.count("*").cast("double").alias("n")).scalar()
-    known = vocabulary(counts, min_df, max_features).select("term", "df", X.valid_phrase(F.col("term"), stop).alias("valid"), X.normalize_keyword(F.col("term"), stop).alias("keyword"))
+    known = known.select("key", "term", "df", X.valid_phrase(F.col("term"), stop).alias("valid"), X.normalize_keyword(F.col("term"), stop).alias("keyword"))
     known = F.broadcast(known) if max_features <= SMALL_VOCABULARY else known  # max_features rows at most
     raw = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + n) / (1 + F.col("df").cast("double"))) + 1)
-    weighed = counts.join(known, "term").select("row_id", "term", "tf", "valid", "keyword", raw.alias("raw"))
+    weighed = counts.join(known, "key").select("row_id", "term", "tf", "valid", "keyword", raw.alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
     return weighed.select("row_id", "term", "tf", (F.col("raw") / norm).alias("weight"), "valid", "keyword")
 

@@ -31,6 +31,16 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+def cut_in_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """cut(), dealt by the keys into buckets: joins and groups by these keys then move no rows of it."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tidemark_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", new_path(spark)).saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where they are, and the plan knows them
+    return written
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: it is computed once, its
     lineage ends there, and a lost executor costs no recomputation."""
