@@ -380,6 +380,54 @@ def test_jaccard_join(spark, p):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+@pytest.mark.parametrize("p", [jaccard_join.Links(), jaccard_join.Links(block=64), jaccard_join.Links(star_rounds=0, block_shingles=2000)])
+def test_a_group_of_near_copies_proposes_no_more_pairs_than_it_has_postings(spark, monkeypatch, p):
+    """Texts of a group of which some pairs link and some don't: what is compared grows with the group, and all links hold."""
+    random.seed(8)
+    rows = []
+    for c in range(4):
+        base = [f"g{c}w{k}" for k in range(150)]
+        for _ in range(150):
+            w = list(base)
+            for _ in range(random.choice([1, 2, 2, 2])):
+                w[random.randrange(len(w))] = f"x{random.randrange(10**6)}"
+            rows.append((len(rows) + 10, " ".join(w), "s"))
+    made = []
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = jaccard_join.join(documents(spark, rows), p).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked(rows)
+    assert max(made) < 4 * len(rows)
+
+
+def test_forest_joins_all_that_links():
+    """Against all pairs: sets near the threshold, some of one component already, in any order of the pairs."""
+    rng, p = np.random.default_rng(3), jaccard_join.Links()
+    for _ in range(30):
+        size = int(rng.integers(2, 40))
+        sets = [np.sort(rng.choice(24, int(rng.integers(16, 24)), replace=False)).astype(np.int64) for _ in range(size)]
+        rows = {"n": np.array([len(x) for x in sets]), "root": rng.integers(0, size, size)}
+        i, j = np.triu_indices(size, 1)
+        order = rng.permutation(len(i))
+        i, j = i[order], j[order]
+        links = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if 100 * (o := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (len(sets[x]) + len(sets[y]) - o)]
+
+        def parts(pairs):
+            label = rows["root"].tolist()
+            for x, y in pairs:
+                label = [label[x] if k == label[y] else k for k in label]
+            return {frozenset(k for k in range(size) if label[k] == c) for c in label}
+
+        got = jaccard_join.forest(iter([(i[:7], j[:7]), (i[7:], j[7:])]), rows, sets, p)
+        assert set(got) <= set(links) and parts(got) == parts(links)
+        assert len(got) == len(set(rows["root"].tolist())) - len(parts(links))
+
+
 def test_results_do_not_depend_on_the_batch_size(spark):
     """Text numbers have 16 bits: more rows than that in an Arrow batch are split."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")

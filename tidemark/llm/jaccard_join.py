@@ -12,9 +12,11 @@ Two texts link when their sets of shingles overlap by `percent` of their union.
    bounds lose no link). Each group of classes around such a shingle first proposes stars only:
    pairs with one class of the group. Their links make components. Then the groups that
    still hold several components are compared in blocks, by parity sketches of their sets (a
-   sketch bounds the overlap from above, so no link is lost), and only pairs of different
-   components that may link are proposed. A group of copies so never emits all its pairs,
-   and every component is exact.
+   sketch bounds the overlap from above, so no link is lost): each class that may link with one
+   of another component proposes one such pair. What these don't join is compared once more by whole
+   sets, and each block proposes a forest of its links. Groups of several blocks that
+   are not one component by then meet block by block in the same way. So a comparison never emits more
+   rows than classes entered it, however many pairs link, and every component is exact.
 
 Nothing but counts, quantiles and sizes reaches the driver; nothing that grows is broadcast.
 
@@ -43,13 +45,15 @@ from .fingerprints import deal, shingle_sets, signatures, sub_batches
 @dataclass(frozen=True)
 class Links:
     """k: words in a shingle. percent: the least overlap of a link. fragments of the global order.
-    star_rounds propose before the exact comparison. block: classes of a group in one comparison."""
+    star_rounds propose before the exact comparison. block, block_shingles: classes of a group in one
+    comparison and their shingles in all, about."""
 
     k: int = 5
     percent: int = 80
     fragments: int = 8
     star_rounds: int = 2
     block: int = 1024
+    block_shingles: int = 1 << 19
 
 
 def least_overlap(n, p: Links = Links()):
@@ -251,14 +255,20 @@ def stars(posts: DataFrame, seed: int, p: Links) -> DataFrame:
     ).distinct()
 
 
-def _with_roots(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Each posting with its component, in groups that hold several."""
+def _with_roots(posts: DataFrame, roots: DataFrame | None, *group: str) -> DataFrame:
+    """Each posting with its component, in groups that hold several; size and weight are the group's classes and shingles."""
+    group = group or ("token",)
     if roots is None:
         rooted = posts.withColumn("root", F.col("cls"))
     else:
         rooted = posts.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("token", "size")
-    return rooted.join(mixed, "token")
+    mixed = rooted.groupBy(*group).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("weight")).filter("lo < hi")
+    return rooted.join(mixed.select(*group, "size", "weight"), [*group])
+
+
+def _blocks(p: Links) -> Column:
+    """The number of blocks of a group."""
+    return F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("weight") / p.block_shingles)).cast("int")
 
 
 def sketches(ordered: DataFrame) -> DataFrame:
@@ -267,25 +277,30 @@ def sketches(ordered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
-            bits = []
-            for n, hashes in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                size = max(64, 1 << (4 * n - 1).bit_length())
-                on = np.asarray(hashes.values).view(np.uint64) >> np.uint64(7)
-                counts = np.bincount((on & np.uint64(size - 1)).astype(np.int64), minlength=size)
-                bits.append(np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes())
+            bits = [_sketch(n, np.asarray(hashes.values)) for n, hashes in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["cls", "bits"])
 
     return ordered.select("cls", "n", F.transform("tokens", lambda t: t["hash"]).alias("hashes")).mapInArrow(run, "cls bigint, bits binary")
 
 
+def _sketch(n: int, hashes: np.ndarray) -> bytes:
+    size = max(64, 1 << (4 * n - 1).bit_length())
+    on = hashes.view(np.uint64) >> np.uint64(7)
+    counts = np.bincount((on & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def compare_block(rows: dict[str, np.ndarray], bits: list[bytes], left: np.ndarray, right: np.ndarray, p: Links) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes (i, j) of rows of one group, i from left and j from right, that may link and are of different components."""
+    """Indexes (i, j) of rows of one group, i from left and j from right, that may link and are of different components;
+    each pair once if left is right."""
     n, pos, root, lone, before, some = (rows[c] for c in ("n", "pos", "root", "lone", "before", "some"))
     levels = np.array([len(x) for x in bits])
     step = max(1, (1 << 22) // max(1, len(right)))
     for lo in range(0, len(left), step):
         l, r = left[lo : lo + step, None], right[None, :]
         ok = (root[l] != root[r]) & (rows["cls"][l] != rows["cls"][r])
+        if left is right:
+            ok &= l < r
         ok &= np.minimum(n[l], n[r]) * 100 >= np.maximum(n[l], n[r]) * p.percent
         ok &= np.minimum(n[l] - pos[l], n[r] - pos[r]) * (100 + p.percent) >= (n[l] + n[r]) * p.percent
         # pairs that share the token before meet in its group
@@ -313,39 +328,121 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0)
 
 
-def residual(rooted: DataFrame, ordered: DataFrame, p: Links) -> DataFrame:
-    """Pairs of different components around a token that may link. The classes of a group are packed in blocks of about
-    p.block, and every two blocks of a group meet as one row."""
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
+def _columns(rows: pa.Table, *names: str) -> dict[str, np.ndarray]:
+    """What compare_block() reads, and more columns without nulls."""
+    before = rows.column("before").combine_chunks()
+    return {c: rows.column(c).to_numpy() for c in ("cls", "n", "pos", "root", *names)} | {"some": np.asarray(before.is_valid()), "before": np.asarray(pc.fill_null(before, 0))}
+
+
+def near(rooted: DataFrame, ordered: DataFrame, p: Links, across: bool = False) -> DataFrame:
+    """The classes around a token that may link with one of another component in their block: token, x, y, side, cls, n,
+    pos, before, and such a class with its n as other, n_other. A block is about p.block classes of a group and stands in
+    x and y. across: every two blocks x < y of a group meet instead, and side tells in which a class is."""
+    rooted = rooted.withColumn("blocks", _blocks(p))
+    rooted = rooted.filter("blocks > 1") if across else rooted
     bits = sketches(ordered.join(rooted.select("cls").distinct(), "cls", "left_semi"))
     lone = ordered.select("cls", (F.col("n") - F.size("tokens")).alias("lone"))
     member = F.struct("cls", "n", "pos", "before", "root", "lone", "bits")
-    packed = rooted.join(bits, "cls").join(lone, "cls").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), F.col("cls")), blocks).cast("int")).withColumn("blocks", blocks)
+    # by token too: the classes that one group parts meet in another
+    packed = rooted.join(bits, "cls").join(lone, "cls").withColumn("mine", F.pmod(F.xxhash64("token", "cls"), "blocks").cast("int"))
     packed = packed.groupBy("token", "mine", "blocks").agg(F.collect_list(member).alias("held"))
-    alone = packed.filter("blocks = 1").select(F.col("held").alias("l"), F.lit(None).cast(packed.schema["held"].dataType).alias("r"))
-    many = cut(packed.filter("blocks > 1"))
-    left = many.select("token", F.col("mine").alias("x"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("y"), F.col("held").alias("l"))
-    right = many.select("token", F.explode(F.sequence(F.lit(0), "mine")).alias("x"), F.col("mine").alias("y"), F.when(F.col("x") < F.col("y"), F.col("held")).alias("r"))
-    met = left.join(right, ["token", "x", "y"]).select("l", "r")
+    if across:
+        many = cut(packed)
+        left = many.filter("mine < blocks - 1").select("token", F.col("mine").alias("x"), F.explode(F.sequence(F.col("mine") + 1, F.col("blocks") - 1)).alias("y"), F.col("held").alias("l"))
+        right = many.filter("mine > 0").select("token", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("x"), F.col("mine").alias("y"), F.col("held").alias("r"))
+        met = left.join(right, ["token", "x", "y"])
+    else:
+        met = packed.select("token", F.col("mine").alias("x"), F.col("mine").alias("y"), F.col("held").alias("l"), F.lit(None).cast(packed.schema["held"].dataType).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
             for k in range(batch.num_rows):
-                sides = [c[k].values for c in batch.columns if c[k].is_valid]
+                sides = [c[k].values for c in batch.columns[3:] if c[k].is_valid]
                 rows = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in sides])
-                if rows.num_rows < 2:
-                    continue
-                before = rows.column("before").combine_chunks()
-                known = {c: rows.column(c).to_numpy() for c in ("cls", "n", "pos", "root", "lone")} | {"some": np.asarray(before.is_valid()), "before": np.asarray(pc.fill_null(before, 0))}
+                known = _columns(rows, "lone")
                 first = np.arange(len(sides[0]))
                 second = np.arange(len(sides[0]), rows.num_rows) if len(sides) > 1 else first
+                # the next one in the block's order, or the one before: no class is chosen by all
+                above, below = np.full(rows.num_rows, -1), np.full(rows.num_rows, -1)
                 for i, j in compare_block(known, rows.column("bits").to_pylist(), first, second, p):
-                    swap = known["cls"][i] > known["cls"][j]
-                    a, b = np.where(swap, j, i), np.where(swap, i, j)
-                    pairs = np.unique(np.stack([known["cls"][a], known["cls"][b], known["n"][a], known["n"][b]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], names=["a", "b", "n_a", "n_b"])
+                    for some, mine, other in ((above, i, j), (below, j, i)):
+                        who, at = np.unique(mine, return_index=True)
+                        some[who] = np.where(some[who] < 0, other[at], some[who])
+                other = np.where(above < 0, below, above)
+                who = np.flatnonzero(other >= 0)
+                if len(who):
+                    where = [pa.repeat(c[k], len(who)) for c in batch.columns[:3]]
+                    held = rows.select(["cls", "n", "pos", "before"]).combine_chunks().take(pa.array(who))
+                    found = [*where, pa.array((who >= len(sides[0])).astype(np.int32)), *[c.combine_chunks() for c in held.columns], pa.array(known["cls"][other[who]]), pa.array(known["n"][other[who]])]
+                    yield pa.RecordBatch.from_arrays(found, names=["token", "x", "y", "side", "cls", "n", "pos", "before", "other", "n_other"])
+
+    return met.select("token", "x", "y", "l", "r").mapInArrow(run, "token bigint, x int, y int, side int, cls bigint, n bigint, pos int, before bigint, other bigint, n_other bigint")
+
+
+def proposed(found: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) of classes with the other that near() names."""
+    a_first = F.col("cls") < F.col("other")
+    return found.select(
+        F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"),
+        F.when(a_first, F.col("n")).otherwise(F.col("n_other")).alias("n_a"), F.when(a_first, F.col("n_other")).otherwise(F.col("n")).alias("n_b"),
+    ).distinct()
 
-    return alone.unionByName(met).mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
+
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: dict[str, np.ndarray], hashes: list[np.ndarray], p: Links) -> list[tuple[int, int]]:
+    """Of these pairs (i, j) of rows, linked ones that join all components which any linked ones join. Every pair is
+    compared by its whole sets, unless others have joined it already."""
+    n, ends = rows["n"], np.cumsum([0, *map(len, hashes)])
+    tokens = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    own = [tokens[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    held, label, joined = np.zeros(len(tokens), dtype=bool), np.unique(rows["root"], return_inverse=True)[1], []
+    for i, j in pairs:
+        take = 1
+        while len(i := i[apart := label[i] != label[j]]):
+            j = j[apart]
+            # some pairs of each component at a time, twice as many each time
+            order = np.lexsort((i, label[i]))
+            of = label[i][order]
+            tested = np.arange(len(of)) - np.searchsorted(of, of) < take
+            last = -1
+            for x, y in zip(i[order[tested]].tolist(), j[order[tested]].tolist(), strict=True):
+                if label[x] == label[y]:
+                    continue
+                if x != last:
+                    if last >= 0:
+                        held[own[last]] = False
+                    held[own[x]], last = True, x
+                shared = np.count_nonzero(held[own[y]])
+                if 100 * shared >= p.percent * (n[x] + n[y] - shared):
+                    joined.append((x, y))
+                    label[label == label[y]] = label[x]
+            if last >= 0:
+                held[own[last]] = False
+            rest = order[~tested]
+            i, j, take = i[rest], j[rest], 2 * take
+    return joined
+
+
+def forests(rooted: DataFrame, parts: DataFrame, p: Links) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) that link and join all that links between the components of each block of near()."""
+    member = F.struct("cls", "n", "pos", "before", "root", "side", "hashes")
+    held = rooted.join(parts.select("cls", F.flatten("parts").alias("hashes")), "cls").groupBy("token", "x", "y").agg(F.collect_list(member).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches):
+            for block in batch.column(0):
+                rows = pa.Table.from_batches([pa.RecordBatch.from_struct_array(block.values)])
+                known = _columns(rows, "side")
+                hashes = [np.asarray(x.values) for x in rows.column("hashes")]
+                known["lone"] = known["n"] - np.array([len(x) for x in hashes])
+                first, second = np.flatnonzero(known["side"] == 0), np.flatnonzero(known["side"] == 1)
+                pairs = compare_block(known, [_sketch(n, x) for n, x in zip(known["n"].tolist(), hashes, strict=True)], first, second if len(second) else first, p)
+                if joined := forest(pairs, known, hashes, p):
+                    a, b = np.array(joined).T
+                    swap = known["cls"][a] > known["cls"][b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (known["cls"][a], known["cls"][b], known["n"][a], known["n"][b])], names=["a", "b", "n_a", "n_b"])
+
+    return held.select("held").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, p: Links = Links()) -> DataFrame:
@@ -357,8 +454,15 @@ def linked_classes(docs: DataFrame, classes: DataFrame, p: Links = Links()) -> D
     for seed in range(p.star_rounds):
         mixed = _with_roots(posts, roots)
         roots = _tied(roots, cut(verified(stars(mixed.select(*posts.columns), seed, p), parts, p)))
-    rooted = cut(_with_roots(posts, roots))
-    return _tied(roots, cut(verified(residual(rooted, ordered, p), parts, p)))
+    for across in (False, True):
+        rooted = cut(_with_roots(posts, roots))
+        found = cut(near(rooted, ordered, p, across))
+        roots = _tied(roots, cut(verified(proposed(found), parts, p)))
+        roots = _tied(roots, cut(verified(forests(_with_roots(found, roots, "token", "x", "y"), parts, p), parts, p)))
+        posts = rooted.filter(_blocks(p) > 1).select(*posts.columns)
+        if posts.isEmpty():
+            break
+    return roots
 
 
 def _tied(roots: DataFrame | None, new: DataFrame) -> DataFrame:
